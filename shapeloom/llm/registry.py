@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality_rules, url_filters
+from . import line_runs, mixing, quality_rules, sharding, url_filters
 
-_MODULES = (url_filters, quality_rules)
+_MODULES = (mixing, url_filters, sharding, quality_rules, line_runs)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
