@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import line_runs, mixing, quality_rules, sharding, url_filters
+from . import line_runs, mixing, quality_rules, sharding, simhash, toxicity, url_filters
 
-_MODULES = (mixing, url_filters, sharding, quality_rules, line_runs)
+_MODULES = (toxicity, mixing, url_filters, sharding, quality_rules, simhash, line_runs)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
