@@ -1,4 +1,4 @@
-"""Toxicity by cumulative-link (proportional odds) ordinal regression on sparse word features.
+"""Toxicity by cumulative-link (proportional odds) ordinal regression on sparse features: words and beginnings of words.
 
 One weight vector is shared by all thresholds: P(grade >= k) = sigmoid(w.x - theta_k). The expected severity is
 the sum of these over k. Labels only tell toxic from not, so a toxic row's grade (1 to GRADES) comes from
@@ -31,7 +31,8 @@ ship(__name__)
 GRADES = 3
 #: Labelled rows of each class, at most, that the fit uses, and the words it may use.
 SAMPLE = 2000
-WORDS = 128
+WORDS = 256
+PREFIX = 5
 #: Least log odds ratio, in standard errors, of a word that the fit may use.
 LEAST_Z = 3.0
 _BYTES = bytes(
@@ -44,6 +45,12 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_BYTES).split()
 
 
+def features_of(text: str | None) -> list[bytes]:
+    """The words, and of words over PREFIX bytes also their beginnings (marked by a star), repeats included."""
+    words = words_of(text)
+    return words + [w[:PREFIX] + b"*" for w in words if len(w) > PREFIX]
+
+
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -54,7 +61,7 @@ class Model:
     thresholds: tuple[float, ...]
 
     def linear(self, text: str | None) -> float:
-        seen = Counter(w for w in words_of(text) if w in self.weights)
+        seen = Counter(w for w in features_of(text) if w in self.weights)
         return sum(self.weights[w] * (1 + math.log(n)) for w, n in seen.items())
 
     def severity(self, text: str | None) -> tuple[float, int]:
@@ -70,7 +77,7 @@ def _words_that_tell(rows: list[tuple[str, int]]) -> list[bytes]:
     n, df = [0, 0], (Counter(), Counter())
     for text, y in rows:
         n[y] += 1
-        df[y].update(set(words_of(text)))
+        df[y].update(set(features_of(text)))
 
     def z(w: bytes) -> float:
         a, b = df[1][w] + 0.5, df[0][w] + 0.5
@@ -90,7 +97,7 @@ def fit(rows: list[tuple[str, int]], l1: float = 0.00005, steps: int = 600, rate
         return Model({}, (30.0,) * GRADES)
     x, hits, y = np.zeros((len(rows), len(words)), "f4"), np.zeros(len(rows)), np.array([y for _, y in rows])
     for i, (text, _) in enumerate(rows):
-        for w, k in Counter(w for w in words_of(text) if w in at).items():
+        for w, k in Counter(w for w in features_of(text) if w in at).items():
             x[i, at[w]] = 1 + math.log(k)
             hits[i] += k
     cuts = np.quantile(hits[y == 1], [k / GRADES for k in range(1, GRADES)])
