@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._util import ascii_lower, let, stored, table
-from .url_filters import MAX_FILTER_BYTES, bloom
+from .url_filters import MAX_FILTER_BYTES, bloom, without_ids
 
 WINDOW = 10
 RAREST = 2
@@ -192,9 +192,13 @@ def contaminated(docs: DataFrame, tests: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, tests: DataFrame) -> DataFrame:
-    """The rows of docs without any occurrence of a window of the tests, with their columns."""
-    bad = contaminated(docs, tests).where("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of docs without any occurrence of a window of the tests, with their columns.
+
+    Rows without doc_id cannot be told apart: if one of them is contaminated, all go.
+    """
+    found = stored(contaminated(docs, tests).where("n_hit > 0").select(F.col("doc_id").alias("key")), "contaminated")
+    left = without_ids(docs, found.where("key IS NOT NULL").distinct())
+    return left.where("doc_id IS NOT NULL") if found.where("key IS NULL").limit(1).count() else left
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

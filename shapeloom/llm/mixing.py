@@ -8,7 +8,8 @@ taken once more, the one at the mark in part. The order is cut into bins by hash
 over a source, also one that holds most rows, are made of sums of bins and sums within each bin.
 
 A null text has size 0; a null source is a source of its own, ordered last. Sources of size 0 have target 0. Repeated rows
-are rows of their own with equal places in the order. If the total exceeds all caps, each source is at its cap.
+are rows of their own with equal places in the order; at the mark
+they share what is left. If the total exceeds all caps, each source is at its cap.
 An empty table gives no rows. Other columns are ignored.
 """
 
@@ -25,6 +26,7 @@ SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = 17
 _BIN_BITS = 12
+BROADCAST_ROWS = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -63,34 +65,84 @@ def weigh(sizes: DataFrame, weights=WEIGHTS) -> DataFrame:
     return totals.withColumn("weight", F.get(F.array(*map(F.lit, weights)), rank % len(weights)).cast("double"))
 
 
-def mix(docs: DataFrame, whole: bool = False, seed: int = SEED) -> DataFrame:
-    """doc_id, text_hash, size, source_size, target, taken. whole: the document at the mark is taken in full or not at all."""
-    order = F.xxhash64(F.lit(seed), "doc_id", "text")
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order.alias("o"),
-                        F.xxhash64("text").alias("text_hash"))
-    sized = stored(sized.withColumn("bin", F.shiftrightunsigned("o", 64 - _BIN_BITS)), "mix-sizes")
+def _order(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
+def _plan(sized: DataFrame) -> DataFrame:
+    """One row for each source: source_size, target, epochs, and the mark: cut (place in the order), rest, ties, at_cut."""
     plan = water_fill(weigh(sized)).withColumn(
         "epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     )
-    plan = plan.withColumn("want", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-    bins = sized.groupBy("source", "bin").agg(F.sum("size").alias("in_bin"))
-    upto = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    bins = bins.withColumn("before", F.coalesce(F.sum("in_bin").over(upto), F.lit(0)))
-    same = F.col("p.source").eqNullSafe(F.col("b.source"))
-    bins = bins.alias("b").join(plan.alias("p"), same).select("b.*", "source_size", "target", "epochs", "want")
-    within = W.partitionBy("source", "bin").orderBy("o", "doc_id").rowsBetween(W.unboundedPreceding, -1)
-    rows = sized.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    on = F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.bin") == F.col("b.bin"))
-    left = F.greatest(F.lit(0), F.col("want") - F.col("before") - F.col("ahead"))
-    extra = F.when(left * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0)) if whole else F.least("size", left)
-    return rows.alias("r").join(bins.alias("b"), on).select(
-        "doc_id", "text_hash", "size", "source_size", "target",
-        (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"),
-    )
+    plan = stored(
+        plan.withColumn("want", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")),
+        "mix-plan",
+    )
+    bins = sized.groupBy("source", "bin").agg(F.sum("size").alias("n"))
+    before = F.coalesce(
+        F.sum("n").over(W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
+    )
+    bins = bins.withColumn("before", before).alias("b").join(
+        plan.select(F.col("source").alias("_s"), "want"), F.col("source").eqNullSafe(F.col("_s"))
+    )
+    marked = bins.where("before <= want AND before + n > want").select("_s", F.col("bin").alias("_bin"), "before", "want")
+    inside = F.col("source").eqNullSafe(F.col("_s")) & (F.col("bin") == F.col("_bin"))
+    places = sized.join(marked, inside).groupBy("_s", "before", "want", "o").agg(
+        F.sum("size").alias("n"), F.count("*").alias("ties")
+    )
+    upto = W.partitionBy("_s").orderBy("o").rowsBetween(W.unboundedPreceding, -1)  # within one bin
+    places = places.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    marks = places.where("before <= want AND before + n > want").select(
+        "_s", F.col("o").alias("cut"), (F.col("want") - F.col("before")).alias("rest"), "ties", F.col("n").alias("at_cut")
+    )
+    return stored(plan.join(marks, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "mix-marks")
+
+
+def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows (source, o) with their source's plan, which is broadcast while it has few rows."""
+    right = plan.withColumnRenamed("source", "_source")
+    right = F.broadcast(right) if plan.count() <= BROADCAST_ROWS else right
+    return rows.join(right, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _order(seed).alias("o"))
+    return stored(rows.withColumn("bin", F.shiftright("o", 64 - _BIN_BITS)), "mix-sizes")
+
+
+def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words, repeats counted; of the document at the mark a part)."""
+    sized = _sized(docs, seed)
+    rows = _with_plan(sized, _plan(sized))
+    extra = (
+        F.when(F.col("cut").isNull() | (F.col("o") < F.col("cut")), F.least("size", "want"))
+        .when(F.col("o") == F.col("cut"), F.floor(F.col("rest") / F.col("ties")))
+        .otherwise(F.lit(0))
+    )
+    taken = (F.col("epochs") * F.col("size") + extra).cast("long")
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mix_rows(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with their columns.
+
+    The document at the mark is taken whole if at least half of it is wanted. Documents without words are kept once.
+    """
+    plan = _plan(_sized(docs, seed))
+    names = docs.columns
+    rows = _with_plan(docs.withColumn("_o", _order(seed)).select(F.struct(*names).alias("d"), "source", F.col("_o").alias("o"),
+                      (n_words(F.col("text")) == 0).alias("empty")), plan)
+    once = (
+        F.when(F.col("cut").isNull(), F.col("want") > 0)
+        .when(F.col("o") == F.col("cut"), F.col("rest") * 2 >= F.col("at_cut"))
+        .otherwise(F.col("o") < F.col("cut"))
+    )
+    times = F.when(F.col("empty"), F.lit(1)).otherwise((F.col("epochs") + once.cast("int")).cast("int"))
+    return rows.select("d", F.explode(F.array_repeat(F.lit(0), times)).alias("_")).select("d.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text_hash")
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 QUERIES = {"op3_mixing": op3_mixing}

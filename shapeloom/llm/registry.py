@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_runs, mixing, quality_rules, sharding, simhash, toxicity, url_filters
+from . import decontamination, line_runs, mixing, quality_rules, sharding, simhash, token_files, toxicity, url_filters
 
-_MODULES = (toxicity, decontamination, mixing, url_filters, sharding, quality_rules, simhash, line_runs)
+_MODULES = (
+    toxicity, decontamination, mixing, token_files, url_filters, sharding, quality_rules, simhash, line_runs,
+)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._util import ship, stored, table
+from .url_filters import without_ids
 
 ship(__name__)
 
@@ -174,10 +175,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group, that of the least doc_id (of rows that repeat it, one), with the columns of docs."""
-    found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group, that of the least doc_id, with the columns of docs.
+
+    Of rows that repeat a doc_id one stays. Rows without doc_id cannot be told apart and all stay.
+    """
+    found = stored(near_duplicates(docs), "near-duplicates")
+    gone = stored(
+        found.where("doc_id <> component_id").select(F.col("doc_id").alias("key")).distinct(), "near-duplicates-gone"
+    )
+    left = without_ids(docs, gone)
+    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        nameless = left.where("doc_id IS NULL")
+        left = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(nameless)
+    return left
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,12 +61,13 @@ class Level:
     n_bits: int
     seeds: tuple[int, ...]
 
-    def has(self, key: Column) -> Column:
+    def has(self, key: Column, name: str = "key") -> Column:
+        """Whether the filter has the value of a column; name is that column's name."""
         words, out = self.bits.scalar(), F.lit(True)
         for s in self.seeds:
             at = _bit(key, s, self.n_bits)
             word = F.get(words, F.shiftright(at, 6).cast("int"))
-            mask = F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({s}, key), {self.n_bits}) % 64 AS INT))")
+            mask = F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({s}, `{name}`), {self.n_bits}) % 64 AS INT))")
             out = out & (word.bitwiseAND(mask) != 0)
         return out
 
@@ -130,6 +131,24 @@ def judge(rows: DataFrame, listed: DataFrame, max_bytes: int = MAX_FILTER_BYTES)
     return out
 
 
+def without_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows of a table whose column is not among ids.key (distinct, not null); null is never among them.
+
+    A filter of the ids, if it is small enough, passes at once most rows that stay; only the others are
+    shuffled for the exact anti-join.
+    """
+    n = ids.count()
+    if not n:
+        return rows
+    on = F.col(column) == F.col("_gone")
+    gone = ids.select(F.col("key").alias("_gone"))
+    if 2 * n > MAX_FILTER_BYTES:  # 12 bits an id
+        return rows.join(gone, on, "left_anti")
+    level, names = bloom(ids, n, 2**-8, 1, "ids-gone"), rows.columns
+    maybe = F.coalesce(level.has(F.col(column), column), F.lit(False)) & F.col(column).isNotNull()
+    return rows.where(~maybe).unionByName(rows.where(maybe).join(gone, on, "left_anti").select(*names))
+
+
 def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict. listed: key, host and path joined."""
     parts = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
