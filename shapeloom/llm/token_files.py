@@ -12,9 +12,9 @@ start within a block. Words decode by selector, all words of one selector at onc
 Documents are dealt by ranges of doc_id and encoded as they are read, one block in memory at a time. Where a document
 starts in the whole is the sum of parts before, blocks before in its part, and documents before in its block.
 
-Texts are split at single blanks between other characters, where the tokenizer's own splits always fall, and the ids of
-a piece are kept by each worker for the next time, up to KEPT pieces. Texts with white space on both sides
-of a blank are encoded as they are. Null and empty texts have only the end id. A null doc_id comes first; rows that
+Texts are split at line ends and single blanks between other characters, and a mark at a piece's end is parted from a letter;
+there the tokenizer's own splits always fall. The ids of a piece are kept by each worker for the next time, up to KEPT pieces, those that recur longest. Texts with white space
+next to white space or at an end are encoded as they are. Null and empty texts have only the end id. A null doc_id comes first; rows that
 repeat a doc_id follow each other. Other columns are ignored.
 """
 
@@ -24,6 +24,7 @@ import re
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,14 +38,17 @@ from ._util import ship, stored, table
 ship(__name__)
 
 END = 2
-#: Ids of a block, about; ids between two offsets; pieces that a worker keeps; bytes of text of a range of documents.
-BLOCK, SKIP, KEPT, RANGE_BYTES = 1 << 18, 1 << 12, 400_000, 64 << 20
+#: Ids of a block, about; ids between two offsets; pieces that a worker keeps.
+BLOCK, SKIP, KEPT = 1 << 18, 1 << 12, 900_000
 #: Fixed: ids in a word and bits of each, by selector.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15
 _WIDTHS = np.array([i.bit_length() for i in range(1 << 16)], "u1")
-_SPREAD = re.compile(r"\s \s")
+#: White space next to white space, or at an end.
+_SPREAD = re.compile(r"\s\s|^\s|\s$")
+#: Marks that the tokenizer parts from a letter before them.
+_MARKS = ",.;:!?"
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,45 +127,65 @@ def unpack(words: np.ndarray) -> np.ndarray:
 
 
 def _kept(path: str) -> types.ModuleType:
-    """What this worker process keeps: the tokenizer and the ids of pieces."""
+    """What this worker process keeps: the tokenizer, and the ids of pieces as bytes, first[x] for x and after[x] for a blank and x."""
     name = "_token_files_kept"
     kept = sys.modules.get(name)
     if kept is None or kept.path != path:
         from tokenizers import Tokenizer
 
         kept = types.ModuleType(name)
-        kept.path, kept.tokenizer, kept.ids = path, Tokenizer.from_file(path), {}
+        kept.path, kept.tokenizer, kept.first, kept.after = path, Tokenizer.from_file(path), ({}, {}), ({}, {})
+        kept.kind, kept.code = ("<u2", "H") if kept.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
+        kept.marks = {x: array(kept.code, kept.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in _MARKS + "\n"}
+        kept.line = kept.marks["\n"]
         sys.modules[name] = kept
     return kept
 
 
+def _learn(kept: types.ModuleType, name: str, pieces: set, before: str) -> dict:
+    """The ids by piece, all of pieces included: those of late, and before it was full, of the generation before."""
+    now, old = getattr(kept, name)
+    if len(now) + len(pieces) > KEPT // 2:
+        now, old = {}, now
+        setattr(kept, name, (now, old))
+    new = pieces - now.keys()
+    again = new & old.keys()
+    now.update({x: old[x] for x in again})
+    new -= again
+    ended = [x for x in new if len(x) > 1 and x[-1] in _MARKS and x[-2].isalpha()]  # a letter and a mark at the end
+    new.difference_update(ended)
+    new.update({x[:-1] for x in ended} - now.keys())
+    for part in _parts(list(new)):
+        found = kept.tokenizer.encode_batch_fast([before + x for x in part], add_special_tokens=False)
+        for x, e in zip(part, found, strict=True):
+            now[x] = array(kept.code, e.ids).tobytes()
+    for x in ended:
+        now[x] = now[x[:-1]] + kept.marks[x[-1]]
+    return now
+
+
+def _parts(x: list, n: int = 2000) -> Iterator[list]:
+    for at in range(0, len(x), n):
+        yield x[at : at + n]
+
+
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
-    """The ids (uint32) of each text."""
+    """The ids of each text, unsigned."""
     kept = _kept(path)
-    known, tok = kept.ids, kept.tokenizer
-    pieces, whole = [], []
+    split, heads, tails = {}, set(), set()
     for i, t in enumerate(texts):
-        if _SPREAD.search(t):
-            whole.append(i)
-            pieces.append(None)
-        else:
-            first, *rest = t.split(" ")
-            pieces.append([first, *[f" {x}" for x in rest]])
-    new = list({p for x in pieces if x for p in x if p not in known})
-    if len(known) + len(new) > KEPT:
-        known.clear()
-        new = list({p for x in pieces if x for p in x})
-    for at in range(0, len(new), 10_000):
-        part = new[at : at + 10_000]
-        for p, e in zip(part, tok.encode_batch(part, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-    whole_ids = dict(zip(whole, tok.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True))
-    out = []
-    for i, x in enumerate(pieces):
-        if x is None:
-            out.append(np.array(whole_ids[i].ids, "<u4"))
+        if not _SPREAD.search(t):
+            lines = split[i] = [x.split(" ") for x in t.split("\n")]
+            for x in lines:
+                heads.add(x[0])
+                tails.update(x[1:])
+    first, after, out = _learn(kept, "first", heads, ""), _learn(kept, "after", tails, " ").__getitem__, []
+    for i, t in enumerate(texts):
+        if i in split:
+            said = kept.line.join([first[x[0]] + b"".join(map(after, x[1:])) for x in split[i]])
+            out.append(np.frombuffer(said, kept.kind))
         else:
-            out.append(np.frombuffer(b"".join([known[p] for p in x]), "<u4"))
+            out.append(np.array(kept.tokenizer.encode(t, add_special_tokens=False).ids, kept.kind))
     return out
 
 
@@ -190,7 +214,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, end: int = END, name: str
             texts = [t if isinstance(t, str) else "" for t in b["text"]]
             for at in range(0, len(texts), 256):
                 for k, a in enumerate(encode(texts[at : at + 256], tokenizer_path)):
-                    arrays.append(np.append(a, np.array([end], "<u4")))
+                    arrays.append(np.append(a.astype("<u4"), np.array([end], "<u4")))
                     d = b["doc_id"].iloc[at + k]
                     ids.append(None if pd.isna(d) else d)
                     n += len(arrays[-1])
@@ -200,9 +224,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, end: int = END, name: str
         if arrays:
             yield pd.DataFrame([_block(ids, arrays, part, block)])
 
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, -(-size // RANGE_BYTES), docs.sparkSession.sparkContext.defaultParallelism)
-    ordered = docs.select("doc_id", "text").repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     blocks = ordered.withColumn("part", F.spark_partition_id()).mapInPandas(
         run,
         f"part int, block int, n_ids long, doc_ids array<{kind}>, lengths array<int>, payload binary, offsets array<string>",
