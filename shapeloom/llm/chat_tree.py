@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from ._util import stored, table
 
 USER, ASSISTANT, OTHER = ("<s>[INST] ", " [/INST]"), (" ", " </s>"), ("<<", ">>", "<</>>")
-_NAME = 32  # characters of a node's name
 
 
 def escape(text: Column) -> Column:
@@ -98,16 +97,19 @@ def emit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     and the conversations: conv_id, leaf (the name of its last turn's node)."""
     found = stored(paths(rows), "chat-paths")
     turns = found.select("names", F.posexplode("turns").alias("depth", "t"))
+    leaf = F.element_at("names", -1)
     nodes = turns.select(
         F.get("names", F.col("depth")).alias("name"),
         "depth",
+        leaf.alias("leaf"),
         F.array_join(F.slice("names", F.lit(1), F.col("depth") + 1), "").alias("path"),
         F.col("t.role").alias("role"),
         F.col("t.text").alias("text"),
     )
-    nodes = nodes.groupBy("name").agg(*[F.first(c).alias(c) for c in ("depth", "path", "role", "text")])  # all equal
+    same = [F.first(c).alias(c) for c in ("depth", "path", "role", "text")]  # all equal
+    nodes = nodes.groupBy("name").agg(*same, F.min("leaf").alias("leaf"))  # some conversation through the node
     shown = format_turn(F.col("role"), F.col("text"))
-    nodes = nodes.select("name", "depth", "path", "role", shown.alias("shown"))
+    nodes = nodes.select("name", "depth", "path", "role", "leaf", shown.alias("shown"))
     nodes = nodes.withColumn("length", F.length("shown").cast("long"))
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = nodes.repartitionByRange(n, "path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id())
@@ -120,29 +122,24 @@ def emit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     ahead = F.coalesce(F.sum("length").over(W.partitionBy("part").orderBy("path").rowsBetween(*upto)), F.lit(0))
     placed = dealt.withColumn("ahead", ahead).join(F.broadcast(parts), F.col("part") == F.col("_part"))
     placed = stored(placed.withColumn("start", F.col("before") + F.col("ahead")).drop("ahead", "before", "_part"), "chat-placed")
-    ancestors = placed.where("depth > 0").select(
-        F.col("name").alias("_name"),
-        F.explode(
-            F.transform(F.sequence(F.lit(0), F.col("depth") - 1), lambda i: F.substring("path", i * _NAME + 1, F.lit(_NAME)))
-        ).alias("above"),
+    # the places of a conversation's turns in order; a node's own and its ancestors' are the first of them
+    steps = found.select("names").distinct().select(leaf.alias("_leaf"), F.posexplode("names").alias("d", "_name"))
+    spans = placed.select("name", "start", (F.col("start") + F.col("length")).alias("stop"))
+    ways = steps.join(spans, F.col("_name") == F.col("name")).groupBy("_leaf").agg(
+        F.array_sort(F.collect_list(F.struct("d", "start", "stop"))).alias("way")
+    )
+    way = F.transform("way", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
+    before = F.aggregate(
+        F.slice("attn", F.lit(1), F.col("depth")), F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"]
     )
-    spans = placed.select(F.col("name").alias("above"), F.col("depth").alias("d"), "start", "length")
-    above = ancestors.join(spans, "above").groupBy("_name").agg(
-        F.sum("length").alias("position"),
-        F.array_sort(F.collect_list(F.struct("d", "start", (F.col("start") + F.col("length")).alias("stop")))).alias("up"),
-    )
-    own = F.array(F.struct("start", (F.col("start") + F.col("length")).alias("stop")))
-    up = F.transform("up", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
     loss = F.col("role") == "assistant"
-    out = placed.join(above, F.col("name") == F.col("_name"), "left").select(
-        "name", "depth", "start", "length",
-        F.coalesce("position", F.lit(0)).alias("position"),
-        F.when(F.col("up").isNull(), own).otherwise(F.concat(up, own)).alias("attn"),
-        "shown",
+    out = placed.join(ways, F.col("leaf") == F.col("_leaf")).withColumn("attn", F.slice(way, F.lit(1), F.col("depth") + 1))
+    out = out.select(
+        "name", "depth", "start", "length", before.alias("position"), "attn", "shown",
         F.when(loss, F.lit(len(ASSISTANT[0])).cast("long")).otherwise(0).alias("loss_from"),
         F.when(loss, F.col("length") - len(ASSISTANT[1])).otherwise(0).alias("loss_to"),
     )
-    leaves = found.select("conv_id", F.element_at("names", -1).alias("leaf"))
+    leaves = found.select("conv_id", leaf.alias("leaf"))
     return stored(out, "chat-emitted"), leaves
 
 
