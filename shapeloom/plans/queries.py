@@ -1,4 +1,483 @@
-"""Queries of the profiling engine by name, with DuckDB SQL for those that SQL can express."""
+"""Queries of the profiling engine by name, over the triples that the tables map to."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import TYPE
+from ..functions.terms import UNDEFINED, XSD, XSD_STRING, local_name
+from ..operators import examples as X
+from ..operators import profile as P
+from ..operators import prune, shapes, statistics, taxonomy
+from ..operators import sampling as R
+from ..operators import validation as V
+from ..sources import triples as T
+from .oracle import LABELS, ORACLES, THRESHOLDS
+
+__all__ = ["ORACLES", "QUERIES"]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+EX, KEYS = T.EX, ["conf_thr", "supp_thr"]
+SEED, SAMPLE_MAX, SAMPLE_PCT = 100, 200, 25
+
+
+class Graph:
+    """The steps that queries share, each made when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.triples = spark, T.from_tables(spark, sf_dir)
+        self.types = P.types(self.triples)
+        self.counts = P.class_count(self.triples)
+        self.props = P.entity_prop(P.object_types(self.triples, self.types))
+
+    @property
+    def support(self) -> DataFrame:
+        return P.shape_support(self.props, self.types)
+
+    @property
+    def stats(self) -> DataFrame:
+        return P.with_confidence(self.support, self.counts)
+
+    @property
+    def max_one(self) -> DataFrame:
+        return P.max_count_one(P.entity_cardinality(self.props), self.types)
+
+    @property
+    def kept(self) -> DataFrame:
+        nodes = prune.prune_nodes(self.counts, THRESHOLDS)
+        return prune.prune_positive(self.stats, THRESHOLDS).join(nodes.select("c", *KEYS), ["c", *KEYS], "left_semi")
+
+    @property
+    def shapes(self) -> DataFrame:
+        return shapes.property_shapes(self.stats, self.max_one)
+
+    @property
+    def kept_shapes(self) -> DataFrame:
+        return shapes.property_shapes(self.kept, self.max_one, keys=KEYS)
+
+    @property
+    def pruned_nodes(self) -> DataFrame:
+        return shapes.node_shapes(prune.prune_nodes(self.counts, THRESHOLDS), KEYS)
+
+    @property
+    def sample(self) -> DataFrame:
+        return R.sample_entities(self.types, self.counts, "dynamic", SAMPLE_MAX, SAMPLE_PCT, SEED)
+
+    @property
+    def sampled(self) -> DataFrame:
+        return R.sampled_stats(self.triples, self.sample, TYPE).select("c", "p", "ot", "support", "reservoir", "n", "confidence")
+
+    @property
+    def edges(self) -> DataFrame:
+        up = F.regexp_replace("c", "_[^/]*$", "")
+        some = self.counts.where(F.col("c").startswith(EX) & F.col("c").contains("_")).select(F.col("c").alias("child"), up.alias("parent"))
+        return some.union(self.counts.select(up, F.lit(f"{EX}Thing"))).distinct()
+
+    @property
+    def example_values(self) -> DataFrame:
+        plain = ~F.coalesce(F.col("o_datatype"), F.lit("")).isin(f"<{XSD}double>", f"<{XSD}dateTime>")
+        return X.example_values(self.triples.where(plain), X.example_nodes(self.types))
+
+    @property
+    def labels(self) -> DataFrame:
+        wanted = X.wanted_labels(X.example_nodes(self.types), self.example_values)
+        return X.labels(self.triples, wanted, tuple(EX + x for x in LABELS))
+
+    def rows(self, schema: str, *rows: tuple) -> DataFrame:
+        return self.spark.createDataFrame(list(rows), schema)
+
+
+def query(f: Callable[[Graph], DataFrame]) -> Callable[[Graph], DataFrame]:
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(Graph(spark, sf_dir))
+
+    QUERIES[f.__name__] = run
+    return f
+
+
+def _joined(column) -> Column:
+    return F.array_join(F.array_sort(column), " ")
+
+
+@query
+def class_count(g):
+    return g.counts
+
+
+@query
+def class_count_distinct(g):
+    return P.class_count_distinct(g.triples)
+
+
+@query
+def entity_classes(g):
+    return g.types.groupBy("s").agg(_joined(F.collect_set("c")).alias("classes"))
+
+
+@query
+def class_properties(g):
+    return P.class_properties(g.triples, g.types)
+
+
+@query
+def class_prop_types(g):
+    return P.class_prop_types(g.props, g.types).select("c", "p", F.array_join("ots", " ").alias("ots"))
+
+
+@query
+def shape_support(g):
+    return g.support
+
+
+@query
+def shape_confidence(g):
+    return g.stats.select("c", "p", "ot", "support", "n", "confidence")
+
+
+@query
+def literal_datatypes(g):
+    literals = g.triples.where("o_kind = 'literal'").select("s", "p", F.col("o_datatype").alias("ot")).distinct()
+    return literals.join(g.types, "s").select("c", "p", "ot").distinct()
+
+
+@query
+def iri_object_classes(g):
+    return P.object_types(g.triples.where("o_kind <> 'literal'"), g.types, None).where("ot IS NOT NULL").distinct().join(
+        g.types, "s"
+    ).select("c", "p", "ot").distinct()
+
+
+@query
+def undefined_objects(g):
+    return g.support.where(F.col("ot") == UNDEFINED).select("c", "p", "support")
+
+
+@query
+def entity_cardinality(g):
+    return P.entity_cardinality(g.props).groupBy("p", "cnt").agg(F.count("*").alias("entities"))
+
+
+@query
+def strict_cardinality(g):
+    return P.entity_cardinality(g.props, True, g.triples).groupBy("p", "cnt").agg(F.count("*").alias("entities"))
+
+
+@query
+def max_count_one(g):
+    return g.max_one
+
+
+@query
+def min_count_one(g):
+    return P.min_count_one(g.stats)
+
+
+@query
+def predicate_frequency(g):
+    return P.predicate_frequency(g.triples)
+
+
+@query
+def prune_nodes(g):
+    return prune.prune_nodes(g.counts, THRESHOLDS)
+
+
+_PRUNED = ["c", "p", "ot", "support", "n", "confidence", *KEYS]
+
+
+@query
+def prune_positive(g):
+    return prune.prune_positive(g.stats, THRESHOLDS).select(*_PRUNED)
+
+
+@query
+def prune_negative(g):
+    return prune.prune_negative(g.stats, THRESHOLDS).select(*_PRUNED)
+
+
+@query
+def prune_grid(g):
+    return g.kept.groupBy(*KEYS).agg(F.count("*").alias("kept"), F.count_distinct("c").alias("classes"))
+
+
+@query
+def specific_classes(g):
+    wanted = g.rows("c string", (f"{EX}Order",), (f"{EX}Customer",), (f"{EX}Nobody",))
+    return prune.only_classes(g.stats, wanted).select("c", "p", "ot", "support", "n", "confidence")
+
+
+@query
+def node_shapes(g):
+    return shapes.node_shapes(g.counts)
+
+
+_SHAPE = ["c", "p", "name", "kind", "node_kind", "datatype", "class", "min_count", "max_count", "support", "confidence"]
+
+
+def _flat(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    n = F.greatest(F.coalesce(F.size("or_list"), F.lit(0)), F.lit(0)).cast("long")
+    ots = F.array_join(F.transform("or_list", lambda m: m["ot"]), " ")
+    return df.select(*keys or [], *_SHAPE, n.alias("n_or"), ots.alias("or_types"))
+
+
+@query
+def property_shapes(g):
+    return _flat(g.shapes)
+
+
+@query
+def pruned_property_shapes(g):
+    return _flat(g.kept_shapes, KEYS)
+
+
+@query
+def or_members(g):
+    return shapes.or_members(g.shapes).select("c", "p", "ot", "node_kind", "datatype", "class", "support", "confidence")
+
+
+@query
+def shape_names_dedup(g):
+    mine = g.support.where(F.col("p") != TYPE).select("c", "p")
+    twin = mine.select("c", F.concat(F.lit("http://other.org/#"), local_name(F.col("p"))).alias("p"))
+    return shapes.property_names(mine.union(twin).distinct()).select("c", "p", "name")
+
+
+@query
+def sh_node_links(g):
+    return shapes.sh_node_links(g.shapes, shapes.node_shapes(g.counts))
+
+
+@query
+def stats_counts(g):
+    return statistics.counts(g.pruned_nodes, g.kept_shapes, KEYS)
+
+
+@query
+def stats_avg_min_max(g):
+    return statistics.spreads(g.kept_shapes, KEYS)
+
+
+@query
+def stats_unpivot(g):
+    return statistics.long_form(statistics.counts(g.pruned_nodes, g.kept_shapes, KEYS))
+
+
+@query
+def stats_nested(g):
+    return statistics.nested_counts(shapes.or_members(g.shapes), [])
+
+
+@query
+def negative_shapes(g):
+    found = prune.prune_negative(g.stats, THRESHOLDS)
+    return found.groupBy(*KEYS, "c", "p").agg(_joined(F.collect_list("ot")).alias("ots"))
+
+
+@query
+def sample_bernoulli(g):
+    return R.bernoulli(g.types, 20, SEED)
+
+
+@query
+def sample_reservoir(g):
+    return R.reservoir(g.types, 50, SEED)
+
+
+@query
+def sample_neighbor(g):
+    return R.reservoir(g.types, 50, SEED, neighbours=True)
+
+
+@query
+def sample_dynamic(g):
+    return g.sample
+
+
+@query
+def sample_capacity(g):
+    return R.capacity(g.counts, SAMPLE_MAX, SAMPLE_PCT)
+
+
+@query
+def sampled_support(g):
+    return g.sampled
+
+
+@query
+def sampled_predicate_frequency(g):
+    return P.predicate_frequency(R.sampled_triples(g.triples, g.sample))
+
+
+@query
+def relative_support_prune(g):
+    return prune.prune_positive(g.sampled, THRESHOLDS)
+
+
+@query
+def precision_recall(g):
+    truth = g.stats.where(F.col("p") != TYPE).select("c", "p")
+    return statistics.precision_recall(truth, g.sampled.select("c", "p"), "PS")
+
+
+@query
+def precision_recall_nodes(g):
+    return statistics.precision_recall(g.counts.select("c"), g.sample.select("c"), "NS")
+
+
+@query
+def wrongly_pruned(g):
+    return statistics.wrongly_pruned(g.stats.where(F.col("p") != TYPE), g.sampled)
+
+
+@query
+def type_set_groups(g):
+    return P.type_set_groups(g.types)
+
+
+@query
+def mixed_property_ask(g):
+    return P.mixed_as_literal(g.triples, g.types)
+
+
+@query
+def support_recount(g):
+    keys = g.stats.where("confidence > 0.9").select("c", "p", "ot")
+    more = g.rows("c string, p string, ot string", (f"{EX}Nobody", f"{EX}nothing", UNDEFINED))
+    return P.recount(g.triples, keys.union(more)).select("c", "p", "ot", "support")
+
+
+@query
+def labels_for_examples(g):
+    return g.labels
+
+
+@query
+def property_examples(g):
+    found = X.property_examples(g.example_values, g.labels)
+    return found.select("c", "p", F.array_join("examples", " ").alias("examples"))
+
+
+@query
+def property_kinds(g):
+    return X.property_kinds(g.triples)
+
+
+@query
+def class_examples(g):
+    return X.class_examples(X.example_nodes(g.types), g.triples, g.shapes, g.labels)
+
+
+def _violations(g, schema: str, *rows: tuple) -> DataFrame:
+    return V.violations(g.rows(f"shape string, target_class string, path string, {schema}", *rows), g.triples)
+
+
+@query
+def validate_min_count(g):
+    return _violations(g, "min_count int", ("min", f"{EX}Document", f"{EX}quality", 1))
+
+
+@query
+def validate_max_count(g):
+    return _violations(g, "max_count int", ("max", f"{EX}LineItem", f"{EX}l_partkey", 1))
+
+
+@query
+def validate_datatype(g):
+    return _violations(g, "datatype string", ("dt", f"{EX}Document", f"{EX}source", XSD_STRING))
+
+
+@query
+def validate_class(g):
+    return _violations(g, "class string", ("cls", f"{EX}Nation", f"{EX}n_regionkey", f"{EX}Region"))
+
+
+@query
+def validate_node_kind(g):
+    return _violations(g, "node_kind string", ("kind", f"{EX}Nation", f"{EX}n_name", "IRI"))
+
+
+@query
+def validate_in(g):
+    return _violations(g, "sh_in array<string>", ("in", f"{EX}Order", f"{EX}o_orderpriority", ["1-URGENT", "2-HIGH"]))
+
+
+@query
+def validate_or(g):
+    kinds = "or_list array<struct<node_kind:string,datatype:string,class:string>>"
+    members = [("IRI", None, f"{EX}Order_O"), ("IRI", None, f"{EX}Order_F")]
+    return _violations(g, kinds, ("or", f"{EX}LineItem", f"{EX}l_orderkey", members))
+
+
+@query
+def validate_range(g):
+    return _violations(g, "min_inclusive double, max_inclusive double", ("range", f"{EX}Part", f"{EX}p_size", 10.0, 40.0))
+
+
+@query
+def validate_less_than(g):
+    return _violations(g, "less_than string", ("less", f"{EX}Document", f"{EX}quality", f"{EX}toxic"))
+
+
+@query
+def validate_closed(g):
+    closed = g.rows("node_shape string, target_class string, allowed array<string>", ("closed", f"{EX}Nation", [f"{EX}n_name"]))
+    return V.closed_violations(closed, g.triples, g.types)
+
+
+@query
+def validate_not(g):
+    bad = prune.prune_negative(g.stats, [(0.25, 500)])
+    negative = bad.select(F.lit("not").alias("shape"), F.col("c").alias("target_class"), F.col("p").alias("path"), "ot", "support", "confidence")
+    return V.not_violations(negative, g.triples)
+
+
+@query
+def taxonomy_rollup(g):
+    return taxonomy.roll_up(g.edges, g.counts)
+
+
+@query
+def taxonomy_levels(g):
+    return taxonomy.roll_up_levels(g.edges, g.counts)
+
+
+@query
+def taxonomy_prune(g):
+    return taxonomy.prune_small(g.edges, g.counts.select("c", F.col("n").alias("total")))
+
+
+@query
+def min_cardinality_experiment(g):
+    return shapes.min_cardinality_shapes(g.stats, [(0.75, 1), (0.75, 100), (0.99, 50)])
+
+
+@query
+def low_support_high_conf(g):
+    return shapes.low_support_high_confidence(g.stats).select("c", "p", "ot", "support", "n", "confidence")
+
+
+@query
+def corpus_filter(g):
+    kept = T.clean_corpus(g.triples, [f"{EX}c_name"])
+    return kept.groupBy("p").agg(F.count("*").alias("n"))
+
+
+@query
+def ntriples_roundtrip(g):
+    """Triples by predicate and kind after they were written as lines and parsed."""
+    back = T.parse_lines(T.to_lines(g.triples))
+    return back.groupBy("p", "o_kind", "o_datatype").agg(F.count("*").alias("n"))
+
+
+@query
+def turtle_export(g):
+    """value: the lines of the Turtle file of the pruned shapes at the first pair of thresholds."""
+    from ..sources import turtle
+
+    first = (F.col("conf_thr") == THRESHOLDS[0][0]) & (F.col("supp_thr") == THRESHOLDS[0][1])
+    text = turtle.write_shapes(g.pruned_nodes.where(first), g.kept_shapes.where(first))
+    return g.rows("line int, value string", *enumerate(text.splitlines()))
