@@ -29,8 +29,8 @@ class Graph:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.triples = spark, T.from_tables(spark, sf_dir)
-        self.types = P.types(self.triples)
-        self.counts = P.class_count(self.triples)
+        typed = T.from_tables(spark, sf_dir, part="types")
+        self.types, self.counts = P.types(typed), P.class_count(typed)
         self.props = P.entity_prop(P.object_types(self.triples, self.types))
 
     @property

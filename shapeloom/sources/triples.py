@@ -94,26 +94,26 @@ MAPPING = {
 SUBJECT_OF = {"labels": "documents"}
 
 
-def from_tables(spark: SparkSession, sf_dir: str, tables: list[str] | None = None) -> DataFrame:
-    """Triples of the mapped tables: each table is scanned once, and rows become triples without a shuffle."""
+def from_tables(spark: SparkSession, sf_dir: str, tables: list[str] | None = None, part: str | None = None) -> DataFrame:
+    """Triples of the mapped tables, made without a shuffle. part: types or properties, for one kind of triples only.
+
+    Type triples are branches of their own with a constant predicate, which a filter on other predicates removes from the plan.
+    """
     out = None
     for name in tables or MAPPING:
         cls, key, extra, columns = MAPPING[name]
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         parts = [F.col(k).cast("string") for k in key.split("-")]
         s = F.concat(F.lit(f"{EX}{SUBJECT_OF.get(name, name)}/"), F.concat_ws("-", *parts))
+        none = F.lit(None).cast("string")
 
-        def made(p, o, kind, datatype=None, lang=None):
+        def made(p, o, kind, datatype=None, lang=none):
             return F.struct(
                 F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"),
-                F.lit(datatype).cast("string").alias("o_datatype"), (F.lit(None) if lang is None else lang).cast("string").alias("o_lang"),
+                F.lit(datatype).cast("string").alias("o_datatype"), lang.cast("string").alias("o_lang"),
             )
 
         rows = []
-        if cls:
-            rows.append(made(TYPE, F.lit(EX + cls), "iri"))
-        if extra:
-            rows.append(made(TYPE, F.concat(F.lit(f"{EX}{cls}_"), F.translate(extra, " #", "__")), "iri"))
         for c, (kind, what) in columns.items():
             if kind == "iri":
                 rows.append(made(EX + c, F.concat(F.lit(f"{EX}{what}/"), F.col(c).cast("string")), "iri"))
@@ -121,6 +121,16 @@ def from_tables(spark: SparkSession, sf_dir: str, tables: list[str] | None = Non
                 rows.append(made(EX + c, F.col(c), "literal", T.LANG_STRING, F.col(what)))
             else:
                 rows.append(made(EX + c, F.col(c), "literal", f"<{T.XSD}{what}>"))
-        got = df.select(s.alias("s"), F.inline(F.array(*rows))).where("o IS NOT NULL")
+        got = df.select(s.alias("s"), F.inline(F.array(*rows)))
+        if cls:
+            classes = [F.lit(EX + cls)]
+            if extra:
+                classes.append(F.concat(F.lit(f"{EX}{cls}_"), F.translate(extra, " #", "__")))
+            typed = df.select(s.alias("s"), F.explode(F.array(*classes)).alias("o"))
+            typed = typed.select("s", F.lit(TYPE).alias("p"), "o", F.lit("iri").alias("o_kind"), none.alias("o_datatype"), none.alias("o_lang"))
+            got = typed if part == "types" else got if part == "properties" else typed.unionByName(got)
+        elif part == "types":
+            continue
+        got = got.where("o IS NOT NULL")
         out = got if out is None else out.unionByName(got)
     return out.select(*COLUMNS)
