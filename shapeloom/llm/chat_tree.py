@@ -145,9 +145,10 @@ def emit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     """conv_id, turns: array of (role, text, shown, loss), from the emitted text alone: a leaf's intervals give its turns."""
-    at = nodes.select(F.col("name").alias("leaf"), F.posexplode("attn").alias("i", "span"))
+    last = nodes.join(leaves.select(F.col("leaf").alias("name")).distinct(), "name", "left_semi")
+    at = last.select(F.col("name").alias("leaf"), F.posexplode("attn").alias("i", "span"))
     there = nodes.select(F.col("start").alias("_start"), "shown", "loss_from", "loss_to")
-    said = leaves.select("leaf").distinct().join(at, "leaf").join(there, F.col("span.start") == F.col("_start"))
+    said = at.join(there, F.col("span.start") == F.col("_start"))
     loss = F.substring("shown", F.col("loss_from").cast("int") + 1, (F.col("loss_to") - F.col("loss_from")).cast("int"))
     turn = F.struct(
         "i", parse_turn(F.col("shown")).alias("t"), "shown",
