@@ -54,13 +54,13 @@ class ProfileConfig:
             tuple(x.strip() for x in line.split("=", 1)) for line in lines.splitlines() if "=" in line and line[:1] != "#"
         )
         names = {
-            "is_wikidata": "wikidata", "annotateSupportConfidence": "annotate", "qse_validation_with_shNot": "sh_not",
+            "is_wikidata": "wikidata", "annotateSupportConfidence": "annotate", "validation_with_shNot": "sh_not",
             "entity_sampling_threshold": "sample_max", "entity_sampling_target_percentage": "sample_pct",
             "pruning_thresholds": "thresholds", "example_IRI": "example_namespace",
         }
         kinds, out = {f.name: f.type for f in fields(cls)}, {}
         for key, value in found.items():
-            name = names.get(key, key)
+            name = names.get(key) or names.get(key.partition("_")[2], key)  # some keys have a prefix
             if name not in kinds or name == "specific_classes":
                 continue
             if name == "thresholds":
@@ -73,6 +73,6 @@ class ProfileConfig:
                 out[name] = int(value)
             else:
                 out[name] = value
-        if found.get("qse_approximate_file", "").lower() == "true":
+        if any(k.endswith("_approximate_file") and v.lower() == "true" for k, v in found.items()):
             out["mode"] = "sampled"
         return cls(**out)
