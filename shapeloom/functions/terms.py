@@ -11,10 +11,10 @@ LANG_STRING = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#langString>"
 #: Type of an object that is an IRI without a class.
 UNDEFINED = "http://shaclshapes.org/object-type/undefined"
 SHAPES = "http://shaclshapes.org/"
-#: A line of N-Triples: subject, predicate, object.
+#: A line of N-Triples: subject, predicate, object. The possessive body of a string takes no stack, however long the string.
 LINE = (
     r"^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+"
-    r'(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)\s*\.\s*(?:#.*)?$'
+    r'(<[^>]*>|_:\S+|"(?:[^"\\]++|\\.)*+"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)\s*\.\s*(?:#.*)?$'
 )
 
 
@@ -46,13 +46,13 @@ def literal_datatype(raw: Column) -> Column:
 
 
 def literal_lang(raw: Column) -> Column:
-    found = F.regexp_extract(raw, r'^"(?:[^"\\]|\\.)*"@([A-Za-z0-9-]+)$', 1)
+    found = F.regexp_extract(raw, r'^"(?:[^"\\]++|\\.)*+"@([A-Za-z0-9-]+)$', 1)
     return F.when(found != "", found)
 
 
 def term_value(raw: Column) -> Column:
     """An IRI without brackets, a literal's text unescaped, a blank node as it is."""
-    inside = F.regexp_extract(raw, r'^"((?:[^"\\]|\\.)*)"', 1)
+    inside = F.regexp_extract(raw, r'^"((?:[^"\\]++|\\.)*+)"', 1)
     mark = "\u0001"
     for escaped, plain in (("\\\\", mark), ('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), (mark, "\\")):
         inside = F.replace(inside, F.lit(escaped), F.lit(plain))

@@ -82,13 +82,19 @@ MAPPING = {
         "o_orderpriority": ("lit", "string")}),
     "lineitem": ("LineItem", "l_orderkey-l_linenumber", "l_returnflag", {
         "l_orderkey": ("iri", "orders"), "l_partkey": ("iri", "part"), "l_suppkey": ("iri", "supplier"),
-        "l_quantity": ("lit", "double"), "l_shipdate": ("lit", "dateTime"), "l_linestatus": ("lit", "string")}),
+        "l_linenumber": ("lit", "integer"), "l_quantity": ("lit", "double"), "l_extendedprice": ("lit", "double"),
+        "l_discount": ("lit", "double"), "l_tax": ("lit", "double"), "l_shipdate": ("lit", "dateTime"),
+        "l_linestatus": ("lit", "string")}),
     "events": ("Event", "event_id", "event_type", {
-        "user_id": ("iri", "user"), "value": ("lit", "double"), "ts": ("lit", "dateTime")}),
-    "documents": ("Document", "doc_id", "lang", {"source": ("lang", "lang"), "n_chars": ("lit", "integer")}),
+        "user_id": ("iri", "user"), "value": ("lit", "double"), "ts": ("lit", "dateTime"), "props": ("lit", "string")}),
+    "documents": ("Document", "doc_id", "lang", {
+        "text": ("lang", "lang"), "source": ("lit", "string"), "n_chars": ("lit", "integer")}),
     "labels": (None, "doc_id", None, {"quality": ("lit", "integer"), "toxic": ("lit", "integer")}),
-    "pages": ("Page", "page_id", None, {"url": ("lit", "string")}),
-    "conversations": ("Turn", "conv_id-turn", "role", {"conv_id": ("iri", "conversation")}),
+    "pages": ("Page", "page_id", None, {"url": ("lit", "string"), "html": ("lit", "string")}),
+    "benchmark": ("BenchmarkItem", "item_id", None, {"text": ("lit", "string")}),
+    "conversations": ("Turn", "conv_id-turn", "role", {
+        "conv_id": ("iri", "conversation"), "turn": ("lit", "integer"), "text": ("lit", "string")}),
+    "embeddings": ("Embedding", "vec_id", None, {"label": ("lit", "integer")}),
 }
 #: Tables whose rows tell about the subjects of another.
 SUBJECT_OF = {"labels": "documents"}
