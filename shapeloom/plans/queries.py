@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import TYPE
-from ..functions.terms import UNDEFINED, XSD, XSD_STRING, local_name
+from ..functions.terms import UNDEFINED, XSD_STRING, local_name
 from ..operators import examples as X
 from ..operators import profile as P
 from ..operators import prune, shapes, statistics, taxonomy
@@ -78,8 +78,7 @@ class Graph:
 
     @property
     def example_values(self) -> DataFrame:
-        plain = ~F.coalesce(F.col("o_datatype"), F.lit("")).isin(f"<{XSD}double>", f"<{XSD}dateTime>")
-        return X.example_values(self.triples.where(plain), X.example_nodes(self.types))
+        return X.example_values(self.triples, X.example_nodes(self.types))
 
     @property
     def labels(self) -> DataFrame:
