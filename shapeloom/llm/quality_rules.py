@@ -1,9 +1,9 @@
 """Quality rules: decision lists learned by sequential covering from labelled statistics.
 
 Statistics come from whole texts by built-in functions. Learning looks at the labelled rows only
-through a cube of their counts: each statistic is cut at quantiles, so the cube has at most
-BINS ** len(FEATURES) * 4 cells however many rows are labelled, and only that cube reaches the driver.
-The learned list is a Spark CASE expression.
+through a cube of their counts: each statistic is cut at quantiles of all rows, of the bad and of the good ones, tails
+included. The cube is a stored table of its occupied cells; only sums by cut reach the driver, as many as there are cuts
+however many rows are labelled. The learned list is a Spark CASE expression.
 
 Null and empty texts have no words: all statistics are zero and the base rule fails them. Repeated rows are
 judged each for itself. Null labels and labels of unknown documents are left out; without labels
@@ -12,7 +12,8 @@ the list is empty and keeps all that the base rule keeps. Columns besides doc_id
 
 from __future__ import annotations
 
-from collections import defaultdict
+import functools
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from ._util import BLANKS, blank_words, let, stored, table
 
-#: Cuts of each statistic, so bins - 1.
-BINS = 8
+#: Where the values stand that tests compare with, among the rows of each label and among all.
+SHARES = [0.0, 0.01, 0.02, 0.05, *[i / 16 for i in range(1, 16)], 0.9, 0.95, 0.98, 0.99, 1.0]
 SYMBOLS = "#*$%&|<>"
 _POS_BITS = 24
 
@@ -148,22 +149,64 @@ class Test:
         return f"{self.feature} {'>' if self.above else '<='} {self.cut:g}"
 
 
-def _cube(labelled: DataFrame) -> tuple[dict[str, list[float]], list[tuple[tuple[int, ...], int, int, int]]]:
-    """The cuts by feature and, for each cell, its bins, its half (0 grow, 1 prune), bad and good rows."""
-    shares = [(i + 1) / BINS for i in range(BINS - 1)]
-    row = labelled.agg(*[F.percentile_approx(_feature(f), shares, 1000).alias(f) for f in FEATURES]).first()
-    cuts = {f: sorted(set(row[f] or [])) for f in FEATURES}
-    bins = [
-        sum([(_feature(f) > c).cast("int") for c in cuts[f]], F.lit(0)).alias(f"b{i}") for i, f in enumerate(FEATURES)
+def _cuts(labelled: DataFrame) -> list[list[float]]:
+    """For each feature the values that tests compare with: quantiles of all rows, of the bad and of the good ones.
+
+    A quantile of one label comes with the next smaller double, so that a test can take the value in or leave it out.
+    """
+    kinds = [F.lit(True), F.col("good") == 0, F.col("good") != 0]
+    wanted = [
+        F.percentile_approx(F.when(kind, _feature(f)), SHARES, 10_000).alias(f"q{i}_{k}")
+        for i, f in enumerate(FEATURES)
+        for k, kind in enumerate(kinds)
     ]
+    row = labelled.agg(*wanted).first()
+    out = []
+    for i in range(len(FEATURES)):
+        found = {x for k in range(len(kinds)) for x in row[f"q{i}_{k}"] or []}
+        of_label = {x for k in (1, 2) for x in row[f"q{i}_{k}"] or []}
+        out.append(sorted(found | {math.nextafter(x, -math.inf) for x in of_label}))
+    return out
+
+
+def _cells(labelled: DataFrame, cuts: list[list[float]]) -> DataFrame:
+    """Stored: a row for each occupied cell, b0.. (cuts below the row's value, by feature), half (0 grow, 1 prune), bad, n."""
+    def below(x: Column, of: list[float]) -> Column:
+        at = F.filter(F.array(*[F.lit(c) for c in of]), lambda c: c < x) if of else F.array()
+        return F.size(at)
+
+    bins = [below(_feature(f), cuts[i]).alias(f"b{i}") for i, f in enumerate(FEATURES)]
     half = (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 2).cast("int").alias("half")
     cells = (
         labelled.select(*bins, half, (F.col("good") == 0).cast("long").alias("bad"))
         .groupBy(*[f"b{i}" for i in range(len(FEATURES))], "half")
         .agg(F.sum("bad").alias("bad"), F.count("*").alias("n"))
+    )
+    return stored(cells, "quality-cells")
+
+
+def _sums(cells: DataFrame, cuts: list[list[float]]) -> dict[tuple[int, bool, int], tuple[int, int, int, int]]:
+    """For each test (feature, above, cut) the bad and good rows of the cells that pass it: in half 0, then in half 1."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"b{i}").alias("b")) for i in range(len(FEATURES))]))
+    rows = (
+        cells.select(each.alias("x"), "half", "bad", "n")
+        .groupBy("x.i", "x.b", "half")
+        .agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
         .collect()  # bounded by the cuts
     )
-    return cuts, [(tuple(r[: len(FEATURES)]), r["half"], r["bad"], r["n"] - r["bad"]) for r in cells]
+    at = [[[0, 0, 0, 0] for _ in range(len(c) + 1)] for c in cuts]
+    for r in rows:
+        at[r["i"]][r["b"]][2 * r["half"]] += r["bad"]
+        at[r["i"]][r["b"]][2 * r["half"] + 1] += r["n"] - r["bad"]
+    out = {}
+    for i, of_bin in enumerate(at):
+        all_of = [sum(x) for x in zip(*of_bin, strict=True)]
+        low = [0, 0, 0, 0]
+        for k in range(len(cuts[i])):
+            low = [x + y for x, y in zip(low, of_bin[k], strict=True)]
+            out[i, False, k] = tuple(low)
+            out[i, True, k] = tuple(x - y for x, y in zip(all_of, low, strict=True))
+    return out
 
 
 def learn(labelled: DataFrame, max_rules: int = 8, max_tests: int = 3, precision: float = 0.9) -> list[list[Test]]:
@@ -171,56 +214,49 @@ def learn(labelled: DataFrame, max_rules: int = 8, max_tests: int = 3, precision
 
     Each rule grows greedily by precision (Laplace) on two thirds of the rows, loses its last tests while that
     does not lower its precision on the other third, and is taken if both stay over the bound given.
-    Covered rows are then removed.
+    Of cuts that do equally well the one farthest from the bad rows is taken. Covered rows are then removed.
     """
-    cuts, cells = _cube(labelled)
-    names = list(FEATURES)
-    tests = [(i, above, k) for i, f in enumerate(names) for k in range(len(cuts[f])) for above in (True, False)]
+    cuts = _cuts(labelled)
+    if not any(cuts):
+        return []
+    left, names = _cells(labelled, cuts), list(FEATURES)
 
-    def holds(rule, bins) -> bool:
-        return all((bins[i] > k) == above for i, above, k in rule)
+    def holds(t: tuple[int, bool, int]) -> Column:
+        return F.col(f"b{t[0]}") > t[2] if t[1] else F.col(f"b{t[0]}") <= t[2]
 
-    def score(rule, half: int) -> tuple[float, int]:
-        bad = good = 0
-        for bins, h, b, g in cells:
-            if h == half and holds(rule, bins):
-                bad, good = bad + b, good + g
-        return (bad + 1) / (bad + good + 2), bad
+    def share(bad: int, good: int) -> float:
+        return (bad + 1) / (bad + good + 2)
 
     rules = []
-    while len(rules) < max_rules and cells:
-        rule: list = []
-        here = [c for c in cells if c[1] == 0]
-        best = (0.0, 0)
+    while len(rules) < max_rules:
+        rule, here, best = [], left, (0.0, 0)
+        grown: list[tuple[float, float]] = []  # precision in both halves after each test
         while len(rule) < max_tests:
-            sums: dict = defaultdict(lambda: [0, 0])
-            for bins, _, b, g in here:
-                for t in tests:
-                    if (bins[t[0]] > t[2]) == t[1]:
-                        sums[t][0] += b
-                        sums[t][1] += g
+            sums = _sums(here, cuts)
             top = max(
-                ((((b + 1) / (b + g + 2)), b, t) for t, (b, g) in sums.items() if b >= 5 and t not in rule),
+                (t for t, x in sums.items() if x[0] >= 5 and t not in rule),
                 default=None,
-                key=lambda x: (round(x[0], 6), x[1], x[2]),
+                key=lambda t: (round(share(*sums[t][:2]), 6), sums[t][0], t[0], t[1], -t[2] if t[1] else t[2]),
             )
-            if top is None or (top[0], top[1]) <= best:
+            if top is None or (share(*sums[top][:2]), sums[top][0]) <= best:
                 break
-            best, rule = (top[0], top[1]), [*rule, top[2]]
-            here = [c for c in here if holds([top[2]], c[0])]
-        while len(rule) > 1 and score(rule[:-1], 1)[0] >= score(rule, 1)[0]:
+            x = sums[top]
+            best, rule = (share(*x[:2]), x[0]), [*rule, top]
+            grown.append((share(*x[:2]), share(*x[2:])))
+            here = here.where(holds(top))
+        while len(rule) > 1 and grown[len(rule) - 2][1] >= grown[len(rule) - 1][1]:
             rule = rule[:-1]
-        if not rule or score(rule, 0)[0] < precision or score(rule, 1)[0] < precision:
+        if not rule or min(grown[len(rule) - 1]) < precision:
             break
-        rules.append([Test(names[i], above, float(cuts[names[i]][k])) for i, above, k in rule])
-        cells = [c for c in cells if not holds(rule, c[0])]
+        rules.append([Test(names[i], above, cuts[i][k]) for i, above, k in rule])
+        left = left.where(~functools.reduce(Column.__and__, map(holds, rule)))
     return rules
 
 
 def with_margins(labelled: DataFrame, rules: list[list[Test]]) -> list[list[Test]]:
     """The rules with each cut moved half the way to the bad rows that the rule covers, leaving out the 2 % nearest.
 
-    Cuts stand at quantiles of all rows, often right at the good ones; a good row just beyond them should stay.
+    Cuts stand at quantiles, often right at the good ones; a good row just beyond them should stay.
     """
     if not rules:
         return rules
@@ -257,7 +293,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The statistics of each document, base_failed and kept."""
     stats = stored(text_stats(docs), "quality-stats")
     good = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("good")).where("good IS NOT NULL")
-    labelled = stats.where(~base_failed()).join(good, F.col("doc_id") == F.col("_id"))
+    labelled = stored(stats.where(~base_failed()).join(good, F.col("doc_id") == F.col("_id")), "quality-labelled")
     rules = with_margins(labelled, learn(labelled))
     return stats.withColumn("base_failed", base_failed()).withColumn(
         "kept", ~F.col("base_failed") & keep_expression(rules)
