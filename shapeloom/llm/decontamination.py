@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._util import ascii_lower, let, stored, table
-from .url_filters import MAX_FILTER_BYTES, bloom, without_ids
+from .url_filters import MAX_FILTER_BYTES, bloom
 
 WINDOW = 10
 RAREST = 2
@@ -77,9 +77,13 @@ def _anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
     ).where("least > 0").select("item", "start", "need")
 
 
-def find_phrases(docs: DataFrame, tests: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, hits: array of (at, length, item_id), one for each occurrence of a window of an item."""
-    base = docs.select("doc_id", F.coalesce("doc_id", F.lit(_NO_DOC)).alias("doc"), "text")
+def _row_key() -> Column:
+    """What candidates are looked up by. Rows may share it: each is then compared with the candidates of all, for itself."""
+    return F.coalesce("doc_id", F.xxhash64("text"))
+
+
+def _candidates(base: DataFrame, tests: DataFrame, window: int) -> DataFrame:
+    """Stored: doc, maybe (array of shift, item_id, words, starts), of the docs that may hold a window. base: doc, text."""
     items = stored(test_words(tests), "test-items")
     vocabulary = stored(items.select(F.explode("words").alias("term")).distinct(), "test-terms")
     n_terms, n_items = vocabulary.count(), items.count()
@@ -108,16 +112,14 @@ def find_phrases(docs: DataFrame, tests: DataFrame, window: int = WINDOW) -> Dat
             F.filter("w", lambda x: F.size(F.array_except(x["need"], F.col("got"))) == 0), lambda x: x["start"]
         ).alias("starts"),
     ).where(F.size("starts") > 0)
-    found = stored(
+    return stored(
         found.groupBy("doc").agg(F.collect_list(F.struct("shift", "item_id", "words", "starts")).alias("maybe")),
         "phrase-candidates",
     )
-    n_found = found.count()
-    rows = base.select("doc_id", "doc", F.size(raw_words(F.col("text"))).cast("long").alias("n_words"), "text")
-    if 2 * n_found <= MAX_FILTER_BYTES:  # 12 bits a key
-        level = bloom(found.select(F.col("doc").alias("key")), n_found, 2**-8, 1, "candidate-docs")
-        rows = rows.withColumn("key", F.col("doc")).withColumn("text", F.when(level.has(F.col("key")), F.col("text")))
-    joined = rows.join(found.withColumnRenamed("doc", "_doc"), F.col("doc") == F.col("_doc"), "left")
+
+
+def _hits(text: Column, window: int) -> Column:
+    """The candidates of the column maybe that the text holds, as array of (at, length, item_id); null without candidates."""
 
     def same(words: Column) -> Column:
         def of_one(c: Column) -> Column:
@@ -137,11 +139,23 @@ def find_phrases(docs: DataFrame, tests: DataFrame, window: int = WINDOW) -> Dat
 
         return F.flatten(F.transform("maybe", of_one))
 
-    lowered = F.transform(raw_words(F.col("text")), ascii_lower)
+    lowered = F.transform(raw_words(text), ascii_lower)
     none = F.lit(None).cast("array<struct<at:int,length:int,item_id:string>>")
-    return joined.select(
-        "doc_id", "n_words", F.when(F.col("maybe").isNotNull(), let(lowered, same)).otherwise(none).alias("hits")
-    )
+    return F.when(F.col("maybe").isNotNull(), let(lowered, same)).otherwise(none)
+
+
+def find_phrases(docs: DataFrame, tests: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, hits: array of (at, length, item_id), one for each occurrence of a window of an item."""
+    base = docs.select("doc_id", _row_key().alias("doc"), "text")
+    found = _candidates(base, tests, window)
+    n_found = found.count()
+    rows = base.select("doc_id", "doc", F.size(raw_words(F.col("text"))).cast("long").alias("n_words"), "text")
+    if 2 * n_found <= MAX_FILTER_BYTES:  # 12 bits a key
+        level = bloom(found.select(F.col("doc").alias("key")), n_found, 2**-8, 1, "candidate-docs")
+        rows = rows.withColumn("key", F.col("doc")).withColumn("text", F.when(level.has(F.col("key")), F.col("text")))
+    joined = rows.join(found.withColumnRenamed("doc", "_doc"), F.col("doc") == F.col("_doc"), "left")
+
+    return joined.select("doc_id", "n_words", _hits(F.col("text"), window).alias("hits"))
 
 
 def near(docs: DataFrame, tests: DataFrame, slack: int) -> DataFrame:
@@ -194,11 +208,22 @@ def contaminated(docs: DataFrame, tests: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, tests: DataFrame) -> DataFrame:
     """The rows of docs without any occurrence of a window of the tests, with their columns.
 
-    Rows without doc_id cannot be told apart: if one of them is contaminated, all go.
+    Each row is judged by its own text, also if it has no doc_id or shares it. Only rows that may be contaminated are shuffled.
     """
-    found = stored(contaminated(docs, tests).where("n_hit > 0").select(F.col("doc_id").alias("key")), "contaminated")
-    left = without_ids(docs, found.where("key IS NOT NULL").distinct())
-    return left.where("doc_id IS NOT NULL") if found.where("key IS NULL").limit(1).count() else left
+    rows = docs.select(F.struct("*").alias("row"), _row_key().alias("doc"))
+    found = _candidates(rows.select("doc", "row.text"), tests, WINDOW)
+    n = found.count()
+    if not n:
+        return docs
+    if 2 * n <= MAX_FILTER_BYTES:  # 12 bits a key
+        level = bloom(found.select(F.col("doc").alias("key")), n, 2**-8, 1, "candidate-docs")
+        maybe = level.has(F.col("doc"), "doc")
+        rows, clean = rows.where(maybe), rows.where(~maybe).select("row.*")
+    else:
+        clean = None
+    judged = rows.join(found.withColumnRenamed("doc", "_doc"), F.col("doc") == F.col("_doc"), "left")
+    left = judged.where(F.coalesce(F.size(_hits(F.col("row.text"), WINDOW)), F.lit(0)) <= 0).select("row.*")
+    return left if clean is None else clean.unionByName(left)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._util import ship, stored, table
-from .url_filters import without_ids
+from .url_filters import MAX_FILTER_BYTES, bloom
 
 ship(__name__)
 
@@ -55,16 +56,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of each row."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) of each row, and the columns more."""
+    columns = ["doc_id", *more]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.array([fingerprint(t if isinstance(t, str) else None) for t in b["text"]], dtype="u8")
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view("i8")})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # ids with nulls among them would become doubles in pandas
+            fp = np.array([fingerprint(t) for t in b.column("text").to_pylist()], dtype="u8")
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(fp.view("i8"))], names=[*columns, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
+    return docs.select(*columns, "text").mapInArrow(run, f"{kinds}, fp long")
 
 
 def _variants(fp: np.ndarray) -> np.ndarray:
@@ -161,32 +163,61 @@ def components(edges: DataFrame) -> DataFrame:
         now = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id (the least doc_id of the group) of each row."""
-    marked = stored(fingerprints(docs), "fingerprints")
-    fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-first")
+def _groups(marked: DataFrame, first: Column) -> DataFrame:
+    """_fp, least: for each fingerprint the least first of its group. first: an aggregate, the least of the rows of one fingerprint."""
+    fps = stored(marked.groupBy("fp").agg(first.alias("first")), "fingerprint-first")
     roots = stored(components(links(fps)), "fingerprint-roots")
     grouped = fps.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "first")
-    of_root = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = grouped.join(of_root, "root").select(F.col("fp").alias("_fp"), "component_id")
+    of_root = grouped.groupBy("root").agg(F.min("first").alias("least"))
+    of_fp = grouped.join(of_root, "root").select(F.col("fp").alias("_fp"), "least")
     alone = fps.join(roots, F.col("fp") == F.col("node"), "left_anti")
-    of_fp = of_fp.unionByName(alone.select(F.col("fp").alias("_fp"), F.col("first").alias("component_id")))
+    return of_fp.unionByName(alone.select(F.col("fp").alias("_fp"), F.col("first").alias("least")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id (the least doc_id of the group) of each row."""
+    marked = stored(fingerprints(docs), "fingerprints")
+    of_fp = _groups(marked, F.min("doc_id")).withColumnRenamed("least", "component_id")
     return marked.join(of_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group, that of the least doc_id, with the columns of docs.
+    """One row of each group, with the columns of docs: that of the least doc_id, rows without one last.
 
-    Of rows that repeat a doc_id one stays. Rows without doc_id cannot be told apart and all stay.
+    Rows are told apart by doc_id and the hash of their text, so rows without doc_id, or that share it, are judged each by its
+    own text. Of rows that repeat both, one stays.
     """
-    found = stored(near_duplicates(docs), "near-duplicates")
-    gone = stored(
-        found.where("doc_id <> component_id").select(F.col("doc_id").alias("key")).distinct(), "near-duplicates-gone"
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("h"))
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "h"))
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    marked = stored(fingerprints(hashed, "h"), "fingerprints")
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h")
+    of_fp = _groups(marked, F.min(own))
+    ours = F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.h") == F.col("h"))
+    judged = marked.groupBy("doc_id", "h", "fp").agg(F.count("*").alias("n"))
+    judged = judged.join(of_fp, F.col("fp") == F.col("_fp")).select("doc_id", "h", ours.alias("first"), "n")
+    # all rows that are not the one of their group, and those of it that are repeated
+    odd = stored(
+        judged.where("NOT first OR n > 1").select(
+            F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.xxhash64("doc_id", "h").alias("_key"), "first"
+        ),
+        "near-duplicates-odd",
     )
-    left = without_ids(docs, gone)
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        nameless = left.where("doc_id IS NULL")
-        left = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(nameless)
+    n = odd.count()
+    if not n:
+        return docs
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
+    clean = None
+    if 2 * n <= MAX_FILTER_BYTES:  # 12 bits a row
+        level = bloom(odd.select(F.col("_key").alias("key")).distinct(), n, 2**-8, 1, "odd-rows")
+        maybe = level.has(F.col("key"))
+        rows, clean = rows.where(maybe), rows.where(~maybe).select("row.*")
+    left = rows.join(odd.select("_id", "_h"), same, "left_anti").select("row.*")
+    left = left if clean is None else clean.unionByName(left)
+    repeated = odd.where("first")
+    if repeated.limit(1).count():
+        once = rows.join(repeated.select("_id", "_h"), same, "left_semi").dropDuplicates(["doc_id", "h"])
+        left = left.unionByName(once.select("row.*"))
     return left
 
 
