@@ -5,48 +5,63 @@ selector bits say how many ids a word holds (60 of 1 bit, 30 of 2, ... 1 of 60);
 whose word holds nothing itself: the next word is one raw id. The layout is greedy: each word takes as many ids as fit.
 
 A file is a Parquet file whose rows are blocks of whole documents, in ascending order of doc_id over all files:
-part and block (their order), doc_ids, lengths (ids by document), payload (little-endian words) and offsets (the
-word at which each run of SKIP ids starts and how many ids of that word come before it), so that a reader can
-start within a block. Words decode by selector, all words of one selector at once.
+part and block (their order), ahead (ids before the block in its part), doc_ids, lengths (ids by document), payload
+(little-endian words) and offsets (the word at which each run of SKIP ids starts and how many ids of that word come before
+it), so that read_span() starts within a block. Words decode by selector, all words of one selector at once.
 
-Documents are dealt by ranges of doc_id and encoded as they are read, one block in memory at a time. Where a document
-starts in the whole is the sum of parts before, blocks before in its part, and documents before in its block.
+Documents are dealt by ranges of doc_id, and among equal ones of their place in the input, and encoded as they are read, one block in
+memory at a time. Where a document starts in the whole is the sum of the parts before, of blocks before in its part, and of documents
+before in its block; only the parts' sums, one row for each file, are broadcast, so payloads are never shuffled.
 
-Texts are split at line ends and single blanks between other characters, and a mark at a piece's end is parted from a letter;
-there the tokenizer's own splits always fall. The ids of a piece are kept by each worker for the next time, up to KEPT pieces, those that recur longest. Texts with white space
-next to white space or at an end are encoded as they are. Null and empty texts have only the end id. A null doc_id comes first; rows that
-repeat a doc_id follow each other. Other columns are ignored.
+Texts are cut at line ends, at single blanks between other characters, and before a single mark between a letter and white space; there
+the tokenizer's own splits always fall. Equal pieces of a batch are encoded once, and each worker keeps the ids of up to KEPT pieces.
+A piece of letters alone, of the scripts up to Armenian, is one word to the tokenizer and goes straight to its model; all other pieces, and
+texts with other white space, go through the whole tokenizer.
+
+Null and empty texts have only the end id. A null doc_id comes first; rows that repeat a doc_id follow each other in the order of the
+input. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 import types
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._util import ship, stored, table
+from ._util import lean, ship, stored, table
 
 ship(__name__)
 
 END = 2
-#: Ids of a block, about; ids between two offsets; pieces that a worker keeps.
-BLOCK, SKIP, KEPT = 1 << 18, 1 << 12, 500_000
+#: Ids of a block, about; ids between two offsets; bytes of text encoded at once; pieces that a worker keeps.
+BLOCK, SKIP, BATCH_BYTES, KEPT = 1 << 18, 1 << 12, 8 << 20, 400_000
 #: Fixed: ids in a word and bits of each, by selector.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15
 _WIDTHS = np.array([i.bit_length() for i in range(1 << 16)], "u1")
-#: Marks that the tokenizer parts from a letter before them.
-_MARKS = ",.;:!?"
+#: Letters below this code point are letters in all versions of Unicode.
+_SURE = "\u0530"
+#: White space other than single blanks and line ends between other characters (RE2).
+_ODD = (
+    "^[ \\n]|[ \\n]$|[ \\n][ \\n]|"
+    "[\\t\\x0b-\\x0d\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+)
+#: A letter, one mark, and white space or the end (RE2).
+_MARKED = "([A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{24f}])([,.;:!?])([ \\n]|$)"
+#: First characters of pieces, which other texts have not: text, end, odd text, mark; a line's first piece begins with its line end.
+_TEXT, _END, _WHOLE, _MARK = "\r", "\t", "\x0b", "\x0c"
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,12 +90,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not fits.any():
             break
         best[:m][fits] = s
-    step = np.array([*COUNTS, 1, 1])[best].tolist()
-    starts, i = [], 0
-    while i < n:
-        starts.append(i)
-        i += step[i]
-    starts = np.array(starts)
+    starts = _walk(np.array([*COUNTS, 1, 1])[best])
     chosen = best[starts]
     slots = 1 + (chosen == ESCAPE)
     at = np.cumsum(slots) - slots
@@ -101,6 +111,23 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, held
 
 
+def _walk(step: np.ndarray) -> np.ndarray:
+    """0, step[0], and so on: the places that a walk meets which goes step[i] ahead from i. Every 64th is found first."""
+    n = len(step)
+    ahead = np.minimum(np.arange(n + 1) + np.append(step, 0), n)
+    far = ahead
+    for _ in range(6):
+        far = far[far]
+    heads = [0]
+    while (i := int(far[heads[-1]])) < n:
+        heads.append(i)
+    rows = [np.array(heads)]
+    for _ in range(63):
+        rows.append(ahead[rows[-1]])
+    met = np.stack(rows, 1).ravel()
+    return met[met < n]
+
+
 def unpack(words: np.ndarray) -> np.ndarray:
     """The ids (uint64) of words."""
     selector = (words >> np.uint64(60)).astype("u1")
@@ -125,7 +152,7 @@ def unpack(words: np.ndarray) -> np.ndarray:
 
 
 def _kept(path: str) -> types.ModuleType:
-    """What this worker process keeps: the tokenizer, and the ids of pieces as bytes, first[x] for x and after[x] for a blank and x."""
+    """What this worker process keeps: the tokenizer, the pieces it has met (keys) and where their ids are in the pool."""
     name = "_token_files_kept"
     kept = sys.modules.get(name)
     if kept is None or kept.path != path:
@@ -133,139 +160,208 @@ def _kept(path: str) -> types.ModuleType:
         from tokenizers import Tokenizer
 
         kept = types.ModuleType(name)
-        kept.path, kept.tokenizer, kept.first, kept.after = path, Tokenizer.from_file(path), ({}, {}), ({}, {})
-        kept.kind, kept.code = ("<u2", "H") if kept.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
-        kept.marks = {x: array(kept.code, kept.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in _MARKS + "\n"}
-        kept.line = kept.marks["\n"]
+        kept.path, kept.tokenizer = path, Tokenizer.from_file(path)
+        kept.model, splits, kept.odd = kept.tokenizer.model, kept.tokenizer.pre_tokenizer, 0
+        letters = [c for c in map(chr, range(ord(_SURE))) if c == " " or c.isalpha()]
+        kept.spelling = {ord(c): "".join(x for x, _ in splits.pre_tokenize_str(c)) for c in letters}  # in the model's alphabet
+        _forget(kept)
         sys.modules[name] = kept
     return kept
 
 
-def _learn(kept: types.ModuleType, name: str, pieces: set, before: str) -> dict:
-    """The ids by piece, all of pieces included: those of late, and before it was full, of the generation before."""
-    now, old = getattr(kept, name)
-    if len(now) + len(pieces) > KEPT // 2:
-        now, old = {}, now
-        setattr(kept, name, (now, old))
-    new = pieces - now.keys()
-    again = new & old.keys()
-    now.update({x: old[x] for x in again})
-    new -= again
-    ended = [x for x in new if len(x) > 1 and x[-1] in _MARKS and x[-2].isalpha()]  # a letter and a mark at the end
-    new.difference_update(ended)
-    new.update({x[:-1] for x in ended} - now.keys())
-    for part in _parts(list(new)):
-        found = kept.tokenizer.encode_batch_fast([before + x for x in part], add_special_tokens=False)
-        for x, e in zip(part, found, strict=True):
-            now[x] = array(kept.code, e.ids).tobytes()
-    for x in ended:
-        now[x] = now[x[:-1]] + kept.marks[x[-1]]
-    return now
-
-
-def _parts(x: list, n: int = 2000) -> Iterator[list]:
-    for at in range(0, len(x), n):
-        yield x[at : at + n]
-
-
-def encode(texts: list[str], path: str) -> list[np.ndarray]:
-    """The ids of each text, unsigned."""
-    kept = _kept(path)
-    split, heads, tails = {}, set(), set()
-    for i, t in enumerate(texts):
-        if t.replace("\n", " ").split(" ") == t.split():  # no other white space, none next to another
-            lines = split[i] = [x.split(" ") for x in t.split("\n")]
-            for x in lines:
-                heads.add(x[0])
-                tails.update(x[1:])
-    first, after, out = _learn(kept, "first", heads, ""), _learn(kept, "after", tails, " ").__getitem__, []
-    for i, t in enumerate(texts):
-        if i in split:
-            said = kept.line.join([first[x[0]] + b"".join(map(after, x[1:])) for x in split[i]])
-            out.append(np.frombuffer(said, kept.kind))
-        else:
-            out.append(np.array(kept.tokenizer.encode(t, add_special_tokens=False).ids, kept.kind))
-    return out
+def _forget(kept: types.ModuleType) -> None:
+    kept.keys, kept.start, kept.size, kept.pool = pa.array([], pa.string()), np.zeros(0, "i4"), np.zeros(0, "i4"), np.zeros(0, "<u4")
 
 
-def _block(doc_ids: list, arrays: list[np.ndarray], part: int, block: int) -> dict:
-    ids = np.concatenate(arrays)
+def _learn(kept: types.ModuleType, new: list[str], odd: dict[str, str], end: int) -> None:
+    """Adds the pieces new to those kept. Most follow a blank; the others tell by their first character what they are."""
+    found: list[list[int]] = []
+    whole, at = [], []  # what the whole tokenizer takes, and its place in found
+    word, spelling, blank = kept.model.tokenize, kept.spelling, kept.spelling[32]
+    for x in new:
+        if x.isalpha() and (x.isascii() or max(x) < _SURE):
+            found.append([t.id for t in word(blank + (x if x.isascii() else x.translate(spelling)))])
+        elif x == _END:
+            found.append([end])
+        else:
+            first = x[:1]
+            at.append(len(found))
+            found.append([])
+            whole.append(odd[x] if first == _WHOLE else x[1:] if first == _TEXT or first == _MARK else x if first == "\n" else " " + x)
+    for k in range(0, len(whole), 1000):
+        for i, e in zip(at[k : k + 1000], kept.tokenizer.encode_batch_fast(whole[k : k + 1000], add_special_tokens=False), strict=True):
+            found[i] = e.ids
+    size = np.fromiter(map(len, found), "i4", len(found))
+    flat = np.fromiter(chain.from_iterable(found), "<u4", int(size.sum()))
+    kept.start = np.concatenate([kept.start, (len(kept.pool) + np.cumsum(size) - size).astype("i4")])
+    kept.size = np.concatenate([kept.size, size])
+    kept.pool = np.concatenate([kept.pool, flat])
+    kept.keys = pa.concat_arrays([kept.keys, pa.array(new, pa.string())])
+
+
+def encode(texts: pa.Array, path: str, end: int = END) -> tuple[np.ndarray, np.ndarray]:
+    """The ids (unsigned) of all texts one after another, each with its end id, and their number by text."""
+    kept = _kept(path)
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    strange = pc.match_substring_regex(texts, _ODD)
+    cut = pc.replace_substring_regex(texts, _MARKED, f"\\1 {_MARK}\\2\\3")
+    cut = pc.binary_join_element_wise(_TEXT, pc.replace_substring(cut, "\n", " \n"), f" {_END}", "")
+    odd: dict[str, str] = {}
+    if pc.any(strange).as_py():
+        where = np.flatnonzero(strange.to_numpy(zero_copy_only=False))
+        names = [None] * len(texts)
+        for i in where.tolist():
+            kept.odd += 1
+            odd[f"{_WHOLE}{kept.odd}"], names[i] = texts[i].as_py(), f"{_WHOLE}{kept.odd} {_END}"
+        cut = pc.if_else(strange, pa.array(names, pa.string()), cut)
+    split = pc.split_pattern(cut, " ")
+    pieces = split.flatten().dictionary_encode()
+    known = pc.index_in(pieces.dictionary, value_set=kept.keys)
+    if known.null_count:
+        if len(kept.keys) > KEPT or len(kept.pool) > 16 * KEPT:  # only those of this text batch stay
+            _forget(kept)
+            new = pieces.dictionary
+        else:
+            new = pieces.dictionary.filter(pc.is_null(known))
+        _learn(kept, new.to_numpy(zero_copy_only=False).tolist(), odd, end)
+        known = pc.index_in(pieces.dictionary, value_set=kept.keys)
+    of = known.to_numpy()[pieces.indices.to_numpy()]
+    size = kept.size[of]
+    upto = np.cumsum(size, dtype="i4")
+    at = np.repeat(kept.start[of] - upto + size, size)
+    at += np.arange(len(at), dtype="i4")
+    ids = kept.pool[at]
+    lasts = split.offsets.to_numpy()[1:] - split.offsets[0].as_py() - 1  # each text has pieces: its end at least
+    return ids, np.diff(upto[lasts], prepend=0)
+
+
+def _batches(column: pa.Array) -> Iterator[pa.Array]:
+    """Slices of a column of texts, of about BATCH_BYTES each."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype("i8"))
+    cuts = [0, *(np.flatnonzero(np.diff(upto // BATCH_BYTES)) + 1).tolist(), len(column)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield column.slice(a, b - a)
+
+
+def _block(doc_ids: pa.Array, ids: np.ndarray, lengths: np.ndarray, part: int, block: int, ahead: int) -> pa.RecordBatch:
     words, held = pack(ids)
     upto = np.cumsum(held)
     marks = np.arange(0, len(ids), SKIP)
     word = np.searchsorted(upto, marks, side="right")
     skip = marks - (upto[word] - held[word])
     word = np.where((word > 0) & (held[np.maximum(word - 1, 0)] == 0), word - 1, word)  # an escape comes along
-    return {
-        "part": part, "block": block, "n_ids": len(ids), "doc_ids": doc_ids, "lengths": [len(a) for a in arrays],
-        "payload": words.astype("<u8").tobytes(), "offsets": [f"{w}:{s}" for w, s in zip(word, skip, strict=True)],
+    offsets = pa.StructArray.from_arrays([pa.array(word, pa.int32()), pa.array(skip, pa.int32())], names=["word", "skip"])
+
+    def one(x: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+
+    columns = {
+        "part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "ahead": pa.array([ahead], pa.int64()),
+        "n_ids": pa.array([len(ids)], pa.int64()), "doc_ids": one(doc_ids), "lengths": one(pa.array(lengths, pa.int32())),
+        "payload": pa.array([words.astype("<u8").tobytes()], pa.binary()), "offsets": one(offsets),
     }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def write_files(docs: DataFrame, tokenizer_path: str, end: int = END, name: str = "token-files") -> DataFrame:
-    """Encodes docs into files in the shared folder; returns them as read back: part, block, n_ids, doc_ids, ..."""
+    """Encodes docs into files in the shared folder; returns them as read back: part, block, ahead, n_ids, doc_ids, ..."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, arrays, n, block, part = [], [], 0, 0, 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # millions of short lists, no cycles
+        names, ids, lengths, n, block, part, ahead = [], [], [], 0, 0, 0, 0
+
+        def done() -> pa.RecordBatch:
+            return _block(pa.concat_arrays(names), np.concatenate(ids), np.concatenate(lengths), part, block, ahead)
+
         for b in batches:
-            part = int(b["part"].iloc[0]) if len(b) else part
-            texts = [t if isinstance(t, str) else "" for t in b["text"]]
-            for at in range(0, len(texts), 256):
-                for k, a in enumerate(encode(texts[at : at + 256], tokenizer_path)):
-                    arrays.append(np.append(a.astype("<u4"), np.array([end], "<u4")))
-                    d = b["doc_id"].iloc[at + k]
-                    ids.append(None if pd.isna(d) else d)
-                    n += len(arrays[-1])
+            if not b.num_rows:
+                continue
+            part, row = b.column("part")[0].as_py(), 0
+            for texts in _batches(b.column("text")):
+                found, sizes = encode(texts, tokenizer_path, end)
+                upto, i = np.cumsum(sizes), 0
+                while i < len(sizes):  # documents up to the one that fills the block
+                    before = int(upto[i - 1]) if i else 0
+                    j = min(len(sizes), int(np.searchsorted(upto, before + BLOCK - n, side="left")) + 1)
+                    names.append(b.column("doc_id").slice(row + i, j - i))
+                    ids.append(found[before : upto[j - 1]])
+                    lengths.append(sizes[i:j])
+                    n += int(upto[j - 1]) - before
+                    i = j
                     if n >= BLOCK:
-                        yield pd.DataFrame([_block(ids, arrays, part, block)])
-                        ids, arrays, n, block = [], [], 0, block + 1
-        if arrays:
-            yield pd.DataFrame([_block(ids, arrays, part, block)])
-
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    blocks = ordered.withColumn("part", F.spark_partition_id()).mapInPandas(
-        run,
-        f"part int, block int, n_ids long, doc_ids array<{kind}>, lengths array<int>, payload binary, offsets array<string>",
+                        yield done()
+                        names, ids, lengths, block, ahead, n = [], [], [], block + 1, ahead + n, 0
+                row += len(sizes)
+        if names:
+            yield done()
+
+    keyed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place"))
+    ordered = keyed.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place")
+    blocks = ordered.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(
+        lean(run),
+        f"part int, block int, ahead long, n_ids long, doc_ids array<{kind}>, lengths array<int>, payload binary, "
+        "offsets array<struct<word:int,skip:int>>",
     )
     return stored(blocks, name)
 
 
+def _placed(files: DataFrame) -> DataFrame:
+    """files with first: the ids of all files before the block. Only the sums of parts are broadcast, one row for each file."""
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    upto = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(F.col("part").alias("_part"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    found = files.join(F.broadcast(parts), F.col("part") == F.col("_part"))
+    return found.select((F.col("before") + F.col("ahead")).alias("first"), "doc_ids", "lengths", "n_ids", "payload", "offsets")
+
+
 def read_documents(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids (array<int>) of each document."""
-    return _read(files, "ids array<int>", lambda ids: ids.astype("i4"))
+
+    def lists(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(ids.astype("i4")))
+
+    return _read(files, "ids array<int>", lists)
 
 
 def _read(files: DataFrame, column: str, value) -> DataFrame:
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
     name = column.split()[0]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.itertuples(index=False):
-                ids = unpack(np.frombuffer(r.payload, "<u8")).astype("<u4")
-                lengths = np.asarray(r.lengths, "i8")
+            for i in range(b.num_rows):
+                ids = unpack(np.frombuffer(b.column("payload")[i].as_buffer(), "<u8")).astype("<u4")
+                lengths = b.column("lengths")[i].values.to_numpy().astype("i8")
                 ends = np.cumsum(lengths)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pd.Series(list(r.doc_ids), dtype="object"),
-                        "start": r.first + ends - lengths,
-                        "n_tokens": lengths,
-                        name: [value(ids[e - n : e]) for e, n in zip(ends, lengths, strict=True)],
-                    }
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_ids")[i].values, pa.array(b.column("first")[i].as_py() + ends - lengths), pa.array(lengths), value(ids, lengths)],
+                    names=["doc_id", "start", "n_tokens", name],
                 )
 
-    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    upto = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row for each file
-    parts = parts.select(F.col("part").alias("_part"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
-    within = W.partitionBy("part").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    heads = files.select("part", "block", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("ahead"))
-    heads = heads.join(parts, F.col("part") == F.col("_part")).select(
-        F.col("part").alias("_part"), F.col("block").alias("_block"), (F.col("before") + F.col("ahead")).alias("first")
-    )
-    placed = files.join(heads, (F.col("part") == F.col("_part")) & (F.col("block") == F.col("_block")))
-    placed = placed.select("first", "doc_ids", "lengths", "payload")
-    return placed.mapInPandas(run, f"doc_id {kind}, start long, n_tokens long, {column}")
+    placed = _placed(files).select("first", "doc_ids", "lengths", "payload")
+    return placed.mapInArrow(lean(run), f"doc_id {kind}, start long, n_tokens long, {column}")
+
+
+def _crcs(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    raw, ends = memoryview(ids.tobytes()), (4 * np.cumsum(lengths)).tolist()
+    return pa.array([zlib.crc32(raw[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.int64())
+
+
+def read_span(files: DataFrame, start: int, n: int) -> np.ndarray:
+    """The n ids from the start-th of all files on. Only blocks that hold some of them are read, and only from the nearest offset on."""
+    some = _placed(files).where((F.col("first") < start + n) & (F.col("first") + F.col("n_ids") > start)).orderBy("first")
+    out = []
+    for r in some.select("first", "n_ids", "payload", "offsets").toLocalIterator():
+        low, high = max(0, start - r["first"]), min(r["n_ids"], start + n - r["first"])
+        mark, stop = r["offsets"][low // SKIP], r["offsets"][-(-high // SKIP) :]
+        words = np.frombuffer(r["payload"], "<u8")[mark["word"] : stop[0]["word"] + 2 if stop else None]
+        if words.size and stop and (words[-1] >> np.uint64(60)) == ESCAPE:
+            words = words[:-1]  # the raw id of an escape that was cut off
+        at = low % SKIP + mark["skip"]
+        out.append(unpack(words)[at : at + high - low])
+    return np.concatenate(out) if out else np.zeros(0, "u8")
 
 
 def default_tokenizer() -> str:
@@ -276,7 +372,7 @@ def default_tokenizer() -> str:
 
 def token_table(docs: DataFrame, tokenizer_path: str, end: int = END) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, as read back from the files."""
-    return _read(write_files(docs, tokenizer_path, end), "ids_crc32 long", lambda ids: zlib.crc32(ids.tobytes()))
+    return _read(write_files(docs, tokenizer_path, end), "ids_crc32 long", _crcs)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
