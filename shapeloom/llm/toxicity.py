@@ -4,11 +4,13 @@ One weight vector is shared by all thresholds: P(grade >= k) = sigmoid(w.x - the
 the sum of these over k. Labels only tell toxic from not, so a toxic row's grade (1 to GRADES) comes from
 how many words it has that tell toxic from other rows.
 
-The model is fitted on the driver, on at most SAMPLE labelled rows of each class, those of least hash of their doc_id.
-Every document is scored, over its whole text, in batches by the Python workers.
+The model is fitted on the driver, on at most SAMPLE labelled documents of each class, those of least hash of their doc_id among the
+documents that there are. Every document is scored, over its whole text, in batches by the Python workers; its doc_id passes
+through as it is, null or of any type.
 
-Null and empty texts have severity 0 up to the intercept and are kept. Repeated rows get equal scores. Labels that are
-null or of unknown documents are left out; without toxic rows nothing is toxic. Other columns are kept by
+Null and empty texts have severity 0 up to the intercept and are kept. Repeated rows get equal scores. A document that is
+labelled both ways counts as toxic, and so does a text; of rows that share a labelled doc_id the least text is taken. Labels that are
+null or of unknown documents are left out; without toxic rows, or without labels or documents, nothing is toxic. Other columns are kept by
 keep_clean() and ignored by score().
 """
 
@@ -20,11 +22,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import ship, table
+from ._util import give_back, lean, ship, stored, table, texts_of
 
 ship(__name__)
 
@@ -88,9 +90,22 @@ def _words_that_tell(rows: list[tuple[str, int]]) -> list[bytes]:
     return [w for s, w in found[:WORDS] if s > LEAST_Z]
 
 
+def likelihood(w: np.ndarray, x: np.ndarray, grade: np.ndarray, share: np.ndarray) -> tuple[float, np.ndarray]:
+    """The weighted log likelihood of the grades, and its gradient by w: the weights, then the GRADES thresholds."""
+    some, up, down = np.arange(len(x)), grade >= 1, grade < GRADES
+    p = _sigmoid((x @ w[:-GRADES])[:, None] - w[-GRADES:])  # P(grade >= k), k = 1 ...
+    hi = np.concatenate([np.ones((len(x), 1)), p], 1)[some, grade]
+    lo = np.concatenate([p, np.zeros((len(x), 1))], 1)[some, grade]
+    d, mass = np.zeros_like(p), np.maximum(hi - lo, 1e-9)  # d: by w.x - theta_k
+    d[some[up], grade[up] - 1] += (hi * (1 - hi) / mass)[up]
+    d[some[down], grade[down]] -= (lo * (1 - lo) / mass)[down]
+    d *= share[:, None]
+    return float((share * np.log(mass)).sum()), np.concatenate([x.T @ d.sum(1), -d.sum(0)])
+
+
 def fit(rows: list[tuple[str, int]], l1: float = 0.00005, steps: int = 600, rate: float = 0.1) -> Model:
     """rows: text and 0 or 1; both classes weigh the same. Adam steps, each followed by soft thresholding."""
-    rows = sorted({t or "": y for t, y in rows}.items())  # a text counts once
+    rows = sorted(dict(sorted((t or "", y) for t, y in rows)).items())  # a text counts once, as toxic if it is both
     words = _words_that_tell(rows)
     at = {w: i for i, w in enumerate(words)}
     if not words or all(y for _, y in rows):
@@ -104,17 +119,9 @@ def fit(rows: list[tuple[str, int]], l1: float = 0.00005, steps: int = 600, rate
     grade = np.where(y == 1, 1 + np.searchsorted(cuts, hits, side="right"), 0)
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     w = np.concatenate([np.zeros(len(words)), np.arange(GRADES) * 0.5])  # weights, then thresholds
-    m, v, some = np.zeros_like(w), np.zeros_like(w), np.arange(len(x))
-    up, down = grade >= 1, grade < GRADES
+    m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        p = _sigmoid((x @ w[:-GRADES])[:, None] - w[-GRADES:])  # P(grade >= k), k = 1 ...
-        hi = np.concatenate([np.ones((len(x), 1)), p], 1)[some, grade]
-        lo = np.concatenate([p, np.zeros((len(x), 1))], 1)[some, grade]
-        d, mass = np.zeros_like(p), np.maximum(hi - lo, 1e-9)  # d: of the log likelihood by w.x - theta_k
-        d[some[up], grade[up] - 1] += (hi * (1 - hi) / mass)[up]
-        d[some[down], grade[down]] -= (lo * (1 - lo) / mass)[down]
-        d *= share[:, None]
-        g = np.concatenate([x.T @ d.sum(1), -d.sum(0)])
+        g = likelihood(w, x, grade, share)[1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         size = rate / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w = w + size * m / (1 - 0.9**t)
@@ -127,28 +134,32 @@ def fit(rows: list[tuple[str, int]], l1: float = 0.00005, steps: int = 600, rate
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> list[tuple[str, int]]:
-    """At most n labelled rows of each class."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("_id IS NOT NULL")
+    """Text and label of at most n documents of each class."""
+    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
+    known = known.groupBy("_id").agg((F.max("toxic") != 0).cast("int").alias("toxic"))
+    there = docs.select(F.col("doc_id").alias("_id")).distinct()
+    known = stored(known.join(there, "_id", "left_semi"), "toxicity-labels")
     some = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(n) for y in (0, 1)]
-    picked = F.broadcast(some[0].union(some[1]).distinct())  # at most 2 n rows
-    found = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("_id")).select("text", "toxic")
-    return [(r[0], r[1]) for r in found.limit(4 * n).collect()]
+    picked = F.broadcast(some[0].unionByName(some[1]))  # at most 2 n rows
+    found = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("_id"))
+    found = found.groupBy("_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return [(r["text"], r["toxic"]) for r in found.collect()]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, severity, grade, toxic."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [model.severity(t if isinstance(t, str) else None) for t in b["text"]]
-            s = np.array(found, dtype="f8").reshape(-1, 2)
-            grade = s[:, 1].astype("i4")
-            yield pd.DataFrame({"doc_id": b["doc_id"], "severity": s[:, 0], "grade": grade, "toxic": grade >= 1})
+            found = [model.severity(t) for texts in texts_of(b.column("text")) for t in texts]
+            severity, grade = [x for x, _ in found], [g for _, g in found]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(severity, pa.float64()), pa.array(grade, pa.int32()), pa.array([g >= 1 for g in grade], pa.bool_())],
+                names=["doc_id", "severity", "grade", "toxic"],
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(
-        run, f"doc_id {kind}, severity double, grade int, toxic boolean"
-    )
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, severity double, grade int, toxic boolean")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -156,14 +167,17 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not toxic, with their columns."""
+    """The rows of docs that are not toxic, with their columns. Only texts go to the Python workers."""
     model = fit(labelled_sample(docs, labels))
 
-    @F.pandas_udf("boolean")
-    def clean(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: model.severity(t if isinstance(t, str) else None)[1] < 1).astype(bool)
+    def clean(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for column in columns:
+                yield pa.array([model.severity(t)[1] < 1 for texts in texts_of(column) for t in texts], pa.bool_())
+        finally:
+            give_back()
 
-    return docs.where(clean("text"))
+    return docs.where(F.arrow_udf(clean, "boolean")("text"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
