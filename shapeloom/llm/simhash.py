@@ -20,13 +20,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import ship, stored, table
+from ._util import drop, lean, ship, stored, table, texts_of
 from .url_filters import MAX_FILTER_BYTES, bloom
 
 ship(__name__)
@@ -61,12 +60,12 @@ def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
     columns = ["doc_id", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # ids with nulls among them would become doubles in pandas
-            fp = np.array([fingerprint(t) for t in b.column("text").to_pylist()], dtype="u8")
+        for b in batches:
+            fp = np.array([fingerprint(t) for texts in texts_of(b.column("text")) for t in texts], dtype="u8")
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(fp.view("i8"))], names=[*columns, "fp"])
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, "text").mapInArrow(run, f"{kinds}, fp long")
+    return docs.select(*columns, "text").mapInArrow(lean(run), f"{kinds}, fp long")
 
 
 def _variants(fp: np.ndarray) -> np.ndarray:
@@ -80,13 +79,17 @@ def _variants(fp: np.ndarray) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
-def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _longs(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view("i8")) for x in columns.values()], names=list(columns))
+
+
+def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fps = b["fp"].to_numpy().view("u8")
-        for at in range(0, len(fps), 2000):
-            part = fps[at : at + 2000]
+        fps = b.column("fp").to_numpy().view("u8")
+        for at in range(0, len(fps), 1000):
+            part = fps[at : at + 1000]
             v = _variants(part)
-            yield pd.DataFrame({"v": v.ravel().view("i8"), "fp": np.repeat(part, v.shape[1]).view("i8")})
+            yield _longs(v=v.ravel(), fp=np.repeat(part, v.shape[1]))
 
 
 def tree(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -105,39 +108,41 @@ def tree(fps: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by variant; a variant's rows may go on in the next batch."""
-    rest_v, rest_fp = np.zeros(0, "i8"), np.zeros(0, "u8")
+def _edges(v: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    """Edges within the variants of rows sorted by variant."""
+    new = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    sizes = np.diff(np.append(new, len(v)))
+    pairs = new[sizes == 2]
+    a, b = fp[pairs], fp[pairs + 1]
+    near = np.bitwise_count(a ^ b) <= RADIUS
+    edges = {(int(min(x, y)), int(max(x, y))) for x, y in zip(a[near], b[near], strict=True)}
+    for s, n in zip(new[sizes > 2], sizes[sizes > 2], strict=True):
+        edges.update((min(e), max(e)) for e in tree(np.sort(fp[s : s + n])))
+    e = np.array(sorted(edges), dtype="u8").reshape(-1, 2)
+    return _longs(a=e[:, 0], b=e[:, 1])
 
-    def runs(v: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
-        new = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-        sizes = np.diff(np.append(new, len(v)))
-        pairs = new[sizes == 2]
-        a, b = fp[pairs], fp[pairs + 1]
-        near = np.bitwise_count(a ^ b) <= RADIUS
-        edges = {(int(x), int(y)) for x, y in zip(a[near], b[near], strict=True)}
-        for s, n in zip(new[sizes > 2], sizes[sizes > 2], strict=True):
-            edges.update(tree(np.sort(fp[s : s + n])))
-        e = np.array(sorted({(min(x), max(x)) for x in edges}), dtype="u8").reshape(-1, 2)
-        return pd.DataFrame({"a": e[:, 0].copy().view("i8"), "b": e[:, 1].copy().view("i8")})
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by variant; the last variant of a batch may go on in the next ones, and is held until it ends."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for b in batches:
-        v = np.concatenate([rest_v, b["v"].to_numpy()])
-        fp = np.concatenate([rest_fp, b["fp"].to_numpy().view("u8")])
+        v, fp = b.column("v").to_numpy(), b.column("fp").to_numpy().view("u8")
         if not len(v):
             continue
         cut = int(np.searchsorted(v, v[-1], side="left"))
-        rest_v, rest_fp = v[cut:], fp[cut:]
-        if cut:
-            yield runs(v[:cut], fp[:cut])
-    if len(rest_v):
-        yield runs(rest_v, rest_fp)
+        if cut or (held and held[-1][0][-1] != v[0]):
+            held.append((v[:cut], fp[:cut]))
+            yield _edges(*map(np.concatenate, zip(*held, strict=True)))
+            held = []
+        held.append((v[cut:], fp[cut:]))
+    if held:
+        yield _edges(*map(np.concatenate, zip(*held, strict=True)))
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges a, b between distinct fingerprints fp, enough to connect all that are linked directly or through others."""
-    met = fps.select("fp").mapInPandas(_emit, "v long, fp long").repartition("v").sortWithinPartitions("v")
-    return met.mapInPandas(_meet, "a long, b long").distinct()
+    met = fps.select("fp").mapInArrow(lean(_emit), "v long, fp long").repartition("v").sortWithinPartitions("v")
+    return met.mapInArrow(lean(_meet), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -160,7 +165,8 @@ def components(edges: DataFrame) -> DataFrame:
         )  # each a over its b
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        before, now = now, stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        drop(before)
 
 
 def _groups(marked: DataFrame, first: Column) -> DataFrame:
