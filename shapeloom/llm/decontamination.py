@@ -1,185 +1,168 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-build_index() stores the postings (term, document, position) of the corpus's tokens as Parquet, sorted by term in each
-segment; a segment is what one task has read, so building needs no shuffle. It may be limited to the
-terms that the tests have. Phrases are found from their rarest terms: each window of a test item has its RAREST rarest
+build_index() stores the postings (term, doc, pos) of all tokens of the corpus as Parquet, sorted by term in each
+segment; a segment is what one task has read, so building needs no shuffle, and an index built at a path of its own serves any number of
+test sets (open_index). Phrases are found from their rarest terms: each window of a test item has its RAREST rarest
 terms as anchors; their lists, each shifted back by the term's offset, are intersected by grouping on
 (document, item, shift). The windows left are then compared word by word with the document. near() finds documents in
-which all terms of a phrase stand near their places.
+which all terms of an item stand near their places.
 
-The tests' terms and items are broadcast while they are at most BROADCAST_ROWS rows; beyond that they are
-shuffled. Texts are shuffled only for documents that have candidates, which a Bloom filter of a size known beforehand tells.
+The tests' terms, anchors and windows are broadcast if their measured size allows it, else shuffled. Texts are shuffled
+only for documents that have candidates, which a Bloom filter of a size known beforehand tells.
 
-Null and empty texts have no words and no hits. An empty item has no window and is never found. A null item_id counts as ''.
-Rows that repeat a doc_id, or have none, are each compared for themselves. Repeated windows and items with
-equal texts are all reported. Other columns are ignored.
+Rows are told apart by the hash of doc_id (of any type, null too) and text, and each is compared for itself, by its own text; exact
+repeats of a row share their candidates. Null and empty texts have no words and no hits. An empty item has no window and is never
+found. A null item_id counts as ''. Repeated windows and items with equal texts are all reported. Without documents there are no rows, without
+tests no hits. Other columns are ignored by find_phrases() and kept by drop_contaminated().
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._util import ascii_lower, let, stored, table
+from ._util import ascii_lower, let, small, stored, table
 from .url_filters import MAX_FILTER_BYTES, bloom
 
 WINDOW = 10
 RAREST = 2
-BROADCAST_ROWS = 200_000
 #: Between words, before A-Z are lowered: ASCII but for digits and letters.
 _BETWEEN = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-_NO_DOC = -(2**63)
 
 
 def raw_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), _BETWEEN), "")
 
 
-def _sized(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def row_key() -> Column:
+    """What the index and candidates call a row, for columns doc_id and text."""
+    return F.xxhash64("doc_id", "text")
 
 
-def build_index(docs: DataFrame, vocabulary: DataFrame | None = None, n_terms: int = 0) -> DataFrame:
-    """Stored postings term, doc, pos. vocabulary: term, distinct, n_terms rows; None takes every term."""
+def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Stored postings term, doc, pos of docs (doc, text), at path or among the intermediate tables."""
     tokens = docs.select("doc", F.posexplode(raw_words(F.col("text"))).alias("pos", "word")).select(
         ascii_lower(F.col("word")).alias("term"), "doc", "pos"
     )
-    if vocabulary is not None:
-        tokens = tokens.join(_sized(vocabulary, n_terms), "term")
-    return stored(tokens.sortWithinPartitions("term", "doc", "pos"), "postings")
+    tokens = tokens.sortWithinPartitions("term", "doc", "pos")
+    if path is None:
+        return stored(tokens, "postings")
+    tokens.write.parquet(path)
+    return open_index(docs.sparkSession, path)
+
+
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("term string, doc long, pos int").parquet(path)
 
 
 def test_words(tests: DataFrame) -> DataFrame:
-    """item (a number for each row), item_id (as a string), words."""
-    rank = F.row_number().over(W.orderBy("item_id", "text"))  # of the tests only
-    return tests.select(
-        rank.alias("item"),
+    """Stored: item (a number for each row), item_id (as a string), words."""
+    found = tests.select(
+        F.monotonically_increasing_id().alias("item"),
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
         F.transform(raw_words(F.col("text")), ascii_lower).alias("words"),
-    ).where(F.size("words") > 0)
+    )
+    return stored(found.where(F.size("words") > 0), "test-items")
+
+
+def _places(items: DataFrame) -> DataFrame:
+    return items.select("item", "item_id", F.size("words").alias("n"), F.posexplode("words").alias("off", "term"))
 
 
-def _anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """item, start, need (offsets in the item of the window's rarest terms); windows with a term the index lacks are out."""
-    places = items.select("item", F.size("words").alias("n"), F.posexplode("words").alias("off", "term"))
-    places = places.join(counts, "term", "left").withColumn("n_found", F.coalesce("n_found", F.lit(0)))
-    starts = items.select(
-        F.col("item").alias("_item"),
-        F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)))).alias("start"),
+def term_counts(index: DataFrame, items: DataFrame) -> DataFrame:
+    """Stored: term, n_found: postings of each term of the items."""
+    terms = stored(items.select(F.explode("words").alias("term")).distinct(), "test-terms")
+    return stored(index.select("term").join(small(terms), "term").groupBy("term").agg(F.count("*").alias("n_found")), "test-term-counts")
+
+
+def _windows(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
+    """Stored: item, start, need (offsets in the item of the window's rarest terms), item_id, said (its words).
+
+    Windows with a term that the index lacks are out. A place lies in at most window windows.
+    """
+    last = F.greatest(F.col("n") - window, F.lit(0))
+    places = _places(items).join(small(counts), "term", "left").withColumn("n_found", F.coalesce("n_found", F.lit(0)))
+    starts = F.sequence(F.least(F.greatest(F.col("off") - window + 1, F.lit(0)), last), F.least("off", last))
+    of_window = places.select("item", F.explode(starts).alias("start"), F.struct("n_found", "off").alias("x"))
+    ranked = of_window.groupBy("item", "start").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    found = ranked.where(F.col("x")[0]["n_found"] > 0).select(
+        "item", "start", F.transform(F.slice("x", 1, RAREST), lambda x: x["off"]).alias("need")
     )
-    inside = (F.col("item") == F.col("_item")) & F.col("off").between(F.col("start"), F.col("start") + window - 1)
-    order = W.partitionBy("item", "start").orderBy("n_found", "off")
-    ranked = places.join(starts, inside).withColumn("r", F.row_number().over(order))
-    return ranked.groupBy("item", "start").agg(
-        F.min("n_found").alias("least"),
-        F.array_sort(F.collect_list(F.when(F.col("r") <= RAREST, F.col("off")))).alias("need"),
-    ).where("least > 0").select("item", "start", "need")
-
-
-def _row_key() -> Column:
-    """What candidates are looked up by. Rows may share it: each is then compared with the candidates of all, for itself."""
-    return F.coalesce("doc_id", F.xxhash64("text"))
-
-
-def _candidates(base: DataFrame, tests: DataFrame, window: int) -> DataFrame:
-    """Stored: doc, maybe (array of shift, item_id, words, starts), of the docs that may hold a window. base: doc, text."""
-    items = stored(test_words(tests), "test-items")
-    vocabulary = stored(items.select(F.explode("words").alias("term")).distinct(), "test-terms")
-    n_terms, n_items = vocabulary.count(), items.count()
-    index = build_index(base, vocabulary, n_terms)
-    counts = stored(index.groupBy("term").agg(F.count("*").alias("n_found")), "test-term-counts")
-    windows = stored(_anchors(items, counts, window), "test-windows")
+    whole = items.select(F.col("item").alias("_item"), "item_id", "words")
+    found = found.join(whole, F.col("item") == F.col("_item"))
+    said = F.slice("words", F.col("start") + 1, F.lit(window))
+    return stored(found.select("item", "start", F.sort_array("need").alias("need"), "item_id", said.alias("said")), "test-windows")
+
+
+def candidates(index: DataFrame, tests: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Stored: doc, maybe (array of at, item_id, said), of the documents that may hold a window of the tests."""
+    items = test_words(tests)
+    windows = _windows(items, term_counts(index, items), window)
     anchors = windows.select("item", F.explode("need").alias("off")).distinct()
-    of_item = items.select(F.col("item").alias("_item"), F.posexplode("words").alias("_off", "term"))
+    of_item = _places(items).select(F.col("item").alias("_item"), F.col("off").alias("_off"), "term")
     anchors = stored(
-        anchors.join(of_item, (F.col("item") == F.col("_item")) & (F.col("off") == F.col("_off"))).select(
-            "term", "item", "off"
-        ),
+        anchors.join(of_item, (F.col("item") == F.col("_item")) & (F.col("off") == F.col("_off"))).select("term", "item", "off"),
         "test-anchors",
     )
-    n_anchors = anchors.count()
-    shifted = index.join(_sized(anchors, n_anchors), "term").select(
-        "doc", "item", (F.col("pos") - F.col("off")).alias("shift"), "off"
-    )
+    shifted = index.join(small(anchors), "term").select("doc", "item", (F.col("pos") - F.col("off")).alias("shift"), "off")
     met = shifted.groupBy("doc", "item", "shift").agg(F.collect_set("off").alias("got"))
-    n_windows = windows.count()
-    by_item = windows.groupBy(F.col("item").alias("_item")).agg(F.collect_list(F.struct("start", "need")).alias("w"))
-    by_item = by_item.join(items.select(F.col("item").alias("_i"), "item_id", "words"), F.col("_item") == F.col("_i"))
-    found = met.join(_sized(by_item, n_windows), F.col("item") == F.col("_item")).select(
-        "doc", "shift", "item_id", "words",
-        F.transform(
-            F.filter("w", lambda x: F.size(F.array_except(x["need"], F.col("got"))) == 0), lambda x: x["start"]
-        ).alias("starts"),
-    ).where(F.size("starts") > 0)
-    return stored(
-        found.groupBy("doc").agg(F.collect_list(F.struct("shift", "item_id", "words", "starts")).alias("maybe")),
-        "phrase-candidates",
-    )
-
-
-def _hits(text: Column, window: int) -> Column:
+    # a window's offsets come in order: look it up by the first, then ask for the last
+    met = met.select("doc", "item", "shift", "got", F.explode("got").alias("_first"))
+    wanted = small(windows.select(
+        F.col("item").alias("_item"), "start", F.col("need")[0].alias("_off"), F.element_at("need", -1).alias("_last"), "item_id", "said"
+    ))
+    both = (F.col("item") == F.col("_item")) & (F.col("_first") == F.col("_off"))
+    found = met.join(wanted, both).where(F.array_contains("got", F.col("_last")))
+    at = F.struct((F.col("shift") + F.col("start")).alias("at"), "item_id", "said")
+    return stored(found.where("shift + start >= 0").groupBy("doc").agg(F.collect_list(at).alias("maybe")), "phrase-candidates")
+
+
+def _hits(text: Column) -> Column:
     """The candidates of the column maybe that the text holds, as array of (at, length, item_id); null without candidates."""
 
     def same(words: Column) -> Column:
-        def of_one(c: Column) -> Column:
-            def equal(s: Column) -> Column:
-                n = F.least(F.lit(window), F.size(c["words"]))
-                at = c["shift"] + s
-                return (at >= 0) & (F.slice(words, F.greatest(at, F.lit(0)) + 1, n) == F.slice(c["words"], s + 1, n))
-
-            return F.transform(
-                F.filter(c["starts"], equal),
-                lambda s: F.struct(
-                    (c["shift"] + s).alias("at"),
-                    F.least(F.lit(window), F.size(c["words"])).alias("length"),
-                    c["item_id"].alias("item_id"),
-                ),
-            )
-
-        return F.flatten(F.transform("maybe", of_one))
+        held = F.filter("maybe", lambda c: F.slice(words, c["at"] + 1, F.size(c["said"])) == c["said"])
+        return F.transform(held, lambda c: F.struct(c["at"], F.size(c["said"]).alias("length"), c["item_id"]))
 
     lowered = F.transform(raw_words(text), ascii_lower)
-    none = F.lit(None).cast("array<struct<at:int,length:int,item_id:string>>")
-    return F.when(F.col("maybe").isNotNull(), let(lowered, same)).otherwise(none)
+    return F.when(F.col("maybe").isNotNull(), let(lowered, same))
 
 
-def find_phrases(docs: DataFrame, tests: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, hits: array of (at, length, item_id), one for each occurrence of a window of an item."""
-    base = docs.select("doc_id", _row_key().alias("doc"), "text")
-    found = _candidates(base, tests, window)
+def find_phrases(docs: DataFrame, tests: DataFrame, window: int = WINDOW, index: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, hits: array of (at, length, item_id), one for each occurrence of a window of an item.
+
+    index: that of docs by row_key(), if it is there already.
+    """
+    base = docs.select("doc_id", row_key().alias("doc"), "text")
+    found = candidates(index or build_index(base), tests, window)
     n_found = found.count()
     rows = base.select("doc_id", "doc", F.size(raw_words(F.col("text"))).cast("long").alias("n_words"), "text")
     if 2 * n_found <= MAX_FILTER_BYTES:  # 12 bits a key
         level = bloom(found.select(F.col("doc").alias("key")), n_found, 2**-8, 1, "candidate-docs")
-        rows = rows.withColumn("key", F.col("doc")).withColumn("text", F.when(level.has(F.col("key")), F.col("text")))
+        rows = rows.withColumn("text", F.when(level.has(F.col("doc"), "doc"), F.col("text")))
     joined = rows.join(found.withColumnRenamed("doc", "_doc"), F.col("doc") == F.col("_doc"), "left")
+    return joined.select("doc_id", "n_words", _hits(F.col("text")).alias("hits"))
 
-    return joined.select("doc_id", "n_words", _hits(F.col("text"), window).alias("hits"))
 
-
-def near(docs: DataFrame, tests: DataFrame, slack: int) -> DataFrame:
+def near(index: DataFrame, tests: DataFrame, slack: int) -> DataFrame:
     """doc, item_id, at: where each term of an item stands within slack words of its place in the phrase, which starts at at.
 
-    The rarest term of the item gives the places; the others are looked up within slack of theirs.
+    The rarest term of the item gives the places; the others are looked up within slack of theirs. doc is the index's name of a row.
     """
-    base = docs.select(F.coalesce("doc_id", F.lit(_NO_DOC)).alias("doc"), "text")
-    items = stored(test_words(tests), "test-items")
-    vocabulary = items.select(F.explode("words").alias("term")).distinct()
-    index = build_index(base, vocabulary, vocabulary.count())
-    counts = index.groupBy("term").agg(F.count("*").alias("n_found"))
-    places = items.select("item", "item_id", F.size("words").alias("n"), F.posexplode("words").alias("off", "term"))
-    places = places.join(counts, "term")
-    rarest = places.withColumn("r", F.row_number().over(W.partitionBy("item").orderBy("n_found", "off")))
-    first = rarest.where("r = 1").join(index, "term").select(
-        "doc", "item", "item_id", "n", (F.col("pos") - F.col("off")).alias("at")
-    )
+    items = test_words(tests)
+    counts = term_counts(index, items)
+    places = stored(_places(items).join(small(counts), "term"), "near-places")
+    rarest = places.groupBy("item").agg(F.min(F.struct("n_found", "off", "term", "item_id", "n")).alias("x"), F.count("*").alias("k"))
+    rarest = stored(rarest.where("k = x.n").select("item", "x.term", "x.off", "x.item_id", "x.n"), "near-rarest")
+    first = index.join(small(rarest), "term").select("doc", "item", "item_id", "n", (F.col("pos") - F.col("off")).alias("at"))
     width = 2 * slack + 1
-    wanted = first.join(places.select(F.col("item").alias("_item"), "term", "off"), F.col("item") == F.col("_item"))
-    wanted = wanted.withColumn("place", F.col("at") + F.col("off")).withColumn(
-        "cell", F.explode(F.array_distinct(F.array(*[F.floor((F.col("place") + d) / width) for d in (-slack, slack)])))
+    wanted = first.join(small(places.select(F.col("item").alias("_item"), "term", "off")), F.col("item") == F.col("_item"))
+    wanted = wanted.withColumn("place", F.col("at") + F.col("off"))
+    cells = F.array_distinct(F.array(*[F.floor((F.col("place") + d) / width) for d in (-slack, slack)]))
+    wanted = wanted.withColumn("cell", F.explode(cells))
+    there = index.join(small(counts.select("term")), "term", "left_semi").select(
+        F.col("term").alias("_t"), F.col("doc").alias("_d"), "pos", F.floor(F.col("pos") / width).alias("_c")
     )
-    there = index.select(F.col("term").alias("_t"), F.col("doc").alias("_d"), "pos", F.floor(F.col("pos") / width).alias("_c"))
     hit = (
         (F.col("term") == F.col("_t")) & (F.col("doc") == F.col("_d")) & (F.col("cell") == F.col("_c"))
         & (F.abs(F.col("pos") - F.col("place")) <= slack)
@@ -210,19 +193,18 @@ def drop_contaminated(docs: DataFrame, tests: DataFrame) -> DataFrame:
 
     Each row is judged by its own text, also if it has no doc_id or shares it. Only rows that may be contaminated are shuffled.
     """
-    rows = docs.select(F.struct("*").alias("row"), _row_key().alias("doc"))
-    found = _candidates(rows.select("doc", "row.text"), tests, WINDOW)
+    rows = docs.select(F.struct("*").alias("row"), row_key().alias("doc"))
+    found = candidates(build_index(rows.select("doc", "row.text")), tests)
     n = found.count()
     if not n:
         return docs
+    clean = None
     if 2 * n <= MAX_FILTER_BYTES:  # 12 bits a key
         level = bloom(found.select(F.col("doc").alias("key")), n, 2**-8, 1, "candidate-docs")
         maybe = level.has(F.col("doc"), "doc")
         rows, clean = rows.where(maybe), rows.where(~maybe).select("row.*")
-    else:
-        clean = None
     judged = rows.join(found.withColumnRenamed("doc", "_doc"), F.col("doc") == F.col("_doc"), "left")
-    left = judged.where(F.coalesce(F.size(_hits(F.col("row.text"), WINDOW)), F.lit(0)) <= 0).select("row.*")
+    left = judged.where(F.coalesce(F.size(_hits(F.col("row.text"))), F.lit(0)) <= 0).select("row.*")
     return left if clean is None else clean.unionByName(left)
 
 
