@@ -19,14 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._util import stored, table
+from ._util import small, stored, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = 17
-_BIN_BITS = 12
-BROADCAST_ROWS = 100_000
+#: Rows of a bin of the order, about; the result does not depend on it.
+BIN_ROWS = 50_000
 
 
 def n_words(text: Column) -> Column:
@@ -78,6 +78,8 @@ def _plan(sized: DataFrame) -> DataFrame:
         plan.withColumn("want", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")),
         "mix-plan",
     )
+    bits = max(12, (sized.count() // BIN_ROWS).bit_length())
+    sized = sized.withColumn("bin", F.shiftright("o", 64 - bits))
     bins = sized.groupBy("source", "bin").agg(F.sum("size").alias("n"))
     before = F.coalesce(
         F.sum("n").over(W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
@@ -99,15 +101,13 @@ def _plan(sized: DataFrame) -> DataFrame:
 
 
 def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """rows (source, o) with their source's plan, which is broadcast while it has few rows."""
-    right = plan.withColumnRenamed("source", "_source")
-    right = F.broadcast(right) if plan.count() <= BROADCAST_ROWS else right
-    return rows.join(right, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    """rows (source, o) with their source's plan, which is broadcast if it is small."""
+    return rows.join(small(plan.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
     rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _order(seed).alias("o"))
-    return stored(rows.withColumn("bin", F.shiftright("o", 64 - _BIN_BITS)), "mix-sizes")
+    return stored(rows, "mix-sizes")
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:

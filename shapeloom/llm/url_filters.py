@@ -6,11 +6,11 @@ universe is then judged exactly by the first level without it: listed if that le
 arrays of 64-bit words that each task gets as a scalar subquery, so judging needs no join and no shuffle.
 
 The size of a filter follows from the number of its keys and is known before it is built.
-Keys are cut into segments by hash until each segment's filters stay under MAX_FILTER_BYTES; the rows of each
-segment are then judged in a pass of their own.
+Keys are cut into segments by hash until each segment's filters stay under MAX_FILTER_BYTES. Rows and keys are then written once, a
+folder for each segment, and each segment is judged from its own folder, so all rows are still read once.
 
 Null urls and those without :// have an empty host and path and the key ''. Repeated urls get equal verdicts. An
-empty list allows everything that no rule blocks.
+empty list allows everything that no rule blocks; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -122,33 +122,19 @@ def judge(rows: DataFrame, listed: DataFrame, max_bytes: int = MAX_FILTER_BYTES)
     universe = stored(rows.select("key").distinct(), "url-universe")
     known = stored(listed.select("key").where("key IS NOT NULL").distinct().join(universe, "key", "left_semi"), "url-list")
     segments = max(1, math.ceil(2 * known.count() / max_bytes))  # under 16 bits a key, all levels together
+    if segments == 1:
+        return rows.withColumn("listed_key", contains(cascade(universe, known)))
+    of = F.pmod(F.hash("key"), F.lit(segments)).alias("_segment")
+    rows, universe, known = (stored(x.select("*", of), "url-segments", ["_segment"]) for x in (rows, universe, known))
     out = None
     for s in range(segments):
-        mine = F.pmod(F.hash("key"), F.lit(segments)) == s
-        levels = cascade(universe.where(mine), known.where(mine))
-        part = rows.where(mine).withColumn("listed_key", contains(levels))
+        mine = F.col("_segment") == s
+        levels = cascade(universe.where(mine).select("key"), known.where(mine).select("key"))
+        part = rows.where(mine).drop("_segment").withColumn("listed_key", contains(levels))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def without_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """The rows of a table whose column is not among ids.key (distinct, not null); null is never among them.
-
-    A filter of the ids, if it is small enough, passes at once most rows that stay; only the others are
-    shuffled for the exact anti-join.
-    """
-    n = ids.count()
-    if not n:
-        return rows
-    on = F.col(column) == F.col("_gone")
-    gone = ids.select(F.col("key").alias("_gone"))
-    if 2 * n > MAX_FILTER_BYTES:  # 12 bits an id
-        return rows.join(gone, on, "left_anti")
-    level, names = bloom(ids, n, 2**-8, 1, "ids-gone"), rows.columns
-    maybe = F.coalesce(level.has(F.col(column), column), F.lit(False)) & F.col(column).isNotNull()
-    return rows.where(~maybe).unionByName(rows.where(maybe).join(gone, on, "left_anti").select(*names))
-
-
 def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict. listed: key, host and path joined."""
     parts = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
