@@ -1,30 +1,38 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A LineRuns store holds the keys seen so far as runs: Parquet tables sorted by hash. Each new batch drops the
-lines whose key some run has (a merge anti-join), then adds a run of its own new keys at level 0; when a level has
-FANOUT runs they are merged into one run of the next level, so a store of n batches has O(log n) runs.
+A LineRuns store holds the keys seen so far as runs: tables bucketed and sorted by hash, so that a merge reads them as they are, without
+an exchange or a sort on their side. Each new batch drops the lines whose key some run has (a merge anti-join), then adds a run of its own
+new keys at level 0; when a level has FANOUT runs they are compacted into one run of the next level, so a store of n
+batches has O(log n) runs.
 
 drop_repeated() applies it to a corpus: keys found in enough documents are counted first, by partial sums, then
-batches run from the largest doc_id down, so the largest document that holds a key is the one that is seen first.
+batches run from the largest doc_id down, so the largest document that holds a key is the one that is seen first. Lines look up the
+counted keys; hot keys, each with more than a 1024th of all such lines, are broadcast, so their lines are not brought to one task.
 
 A key is a line without white space at both ends and with A-Z in lower case; it is held as 128 bits of hash. Null and
-empty texts are one empty line. A null doc_id is the smallest. Rows that repeat a doc_id are one document:
-they count once, and the largest doc_id keeps its lines in all its rows. Documents of one line, repeated lines
-within a document and very long lines need no special case. Other columns are ignored.
+empty texts are one empty line. doc_id may be of any type that has an order; null is the smallest. Rows that repeat a doc_id are one
+document: they count once, and the largest doc_id keeps its lines in all its rows. Documents of one line, repeated lines
+within a document and very long lines need no special case. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import ascii_lower, stored, table
+from ..storage import new_path, remove
+from ._util import ascii_lower, spread_join, stored, table
 
 FANOUT = 3
 BATCHES = 4
+#: Documents, at most, by which the batches are cut; the result does not depend on the cuts.
+CUT_SAMPLE = 1000
 HASH = ["h1", "h2"]
 _TRIM = " \t\n\x0b\x0c\r"
-_LEAST = -(2**63)
 
 
 def line_key(line: Column) -> Column:
@@ -35,85 +43,118 @@ def _hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2")]
 
 
+@contextmanager
+def _sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """While this holds, plans rely on the order of a bucket's rows where the bucket is one file, as those of runs are."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class LineRuns:
-    """The store. runs[i] lists the runs of level i, each a DataFrame of h1, h2 sorted by them."""
+    """The store. levels[i] lists the runs of level i, each a table of h1, h2 in as many buckets as a shuffle has partitions."""
+
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
+        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+        self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def __init__(self, fanout: int = FANOUT):
-        self.fanout, self.levels = fanout, [[]]
+    def _write(self, keys: DataFrame, level: int) -> str:
+        name = f"line_run_{level}_{uuid.uuid4().hex}"
+        writer = keys.repartition(self.buckets, *HASH).write.bucketBy(self.buckets, *HASH).sortBy(*HASH)
+        writer.option("path", new_path(self.spark, name)).format("parquet").saveAsTable(name)
+        return name
 
-    def _write(self, keys: DataFrame, level: int) -> DataFrame:
-        return stored(keys.repartition(*HASH).sortWithinPartitions(*HASH), f"line-run-{level}")
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.table(name) for level in self.levels for name in level]
 
     def unseen(self, keys: DataFrame) -> DataFrame:
-        """The rows of keys whose hash no run has."""
-        for runs in self.levels:
-            for run in runs:
-                keys = keys.join(run, HASH, "left_anti")
+        """The rows of keys (distinct h1, h2) whose hash no run has. To be planned under _sorted_buckets()."""
+        for run in self.runs():
+            keys = keys.join(run.hint("merge"), HASH, "left_anti")
         return keys
 
     def add(self, keys: DataFrame) -> DataFrame:
         """Takes in a batch of distinct keys (h1, h2 and other columns); returns those not seen before."""
-        fresh = stored(self.unseen(keys), "line-fresh")
+        with _sorted_buckets(self.spark):
+            fresh = stored(self.unseen(keys), "line-fresh")
         self.levels[0].append(self._write(fresh.select(*HASH), 0))
-        for i, runs in enumerate(self.levels):
-            if len(runs) >= self.fanout:
-                merged = runs[0]
-                for run in runs[1:]:
-                    merged = merged.unionByName(run)  # runs share no key
-                self.levels[i] = []
+        for i, level in enumerate(self.levels):
+            if len(level) >= self.fanout:
+                merged = self.spark.table(level[0])
+                for name in level[1:]:
+                    merged = merged.unionByName(self.spark.table(name))  # runs share no key
                 if i + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[i + 1].append(self._write(merged, i + 1))
+                self.levels[i] = []
+                self._remove(level)
         return fresh
 
+    def _remove(self, names: list[str]) -> None:
+        for name in names:
+            where = self.spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").first()[1]
+            self.spark.sql(f"DROP TABLE {name}")
+            remove(self.spark, where)
+
+    def close(self) -> None:
+        """Removes all runs."""
+        for level in self.levels:
+            self._remove(level)
+        self.levels = [[]]
+
 
 def _batches(lines: DataFrame, n: int) -> list[Column]:
-    """Conditions that cut doc into n ranges of about equal rows, the largest first."""
-    cuts = lines.agg(F.percentile_approx("doc", [i / n for i in range(1, n)], 1000)).first()[0]
-    cuts = sorted(set(cuts or []))
-    ends = [None, *cuts, None]
-    out = []
-    for low, high in zip(ends[:-1], ends[1:], strict=True):
-        test = F.lit(True) if low is None else F.col("doc") > low
-        out.append(test if high is None else test & (F.col("doc") <= high))
+    """Conditions that cut doc_id into n ranges of about equal documents, the largest first; null is the smallest."""
+    some = lines.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(CUT_SAMPLE)
+    ids = [r[0] for r in some.orderBy("doc_id").collect()]
+    cuts, doc = [], F.col("doc_id")
+    for i in range(1, n):
+        cut = ids[i * len(ids) // n] if ids else None
+        if cut is not None and cut not in cuts:
+            cuts.append(cut)
+    kind, out, low = lines.schema["doc_id"].dataType, [], None
+    for high in [*(F.lit(c).cast(kind) for c in cuts), None]:
+        test = F.lit(True) if low is None else F.coalesce(doc > low, F.lit(False))
+        out.append(test if high is None else test & F.coalesce(doc <= high, F.lit(True)))
+        low = high
     return out[::-1]
 
 
 def drop_repeated(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, n_batches: int = BATCHES) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept (the text without the dropped lines)."""
-    base = docs.select(
-        "doc_id",
-        F.coalesce("doc_id", F.lit(_LEAST)).alias("doc"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
+    spark = docs.sparkSession
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     lines = base.select(
-        "doc",
+        "doc_id",
         F.xxhash64("text").alias("t"),
         F.posexplode(F.transform(F.split("text", "\n"), line_key)).alias("i", "key"),
     ).where(F.length("key") >= min_chars)
-    lines = stored(lines.select("doc", "t", "i", *_hashes(F.col("key"))), "lines")
+    lines = stored(lines.select("doc_id", "t", "i", *_hashes(F.col("key"))), "lines")
     # distinct documents of a key: one row for each key and document, then partial sums
-    often = (
-        lines.select("doc", *HASH).distinct().groupBy(*HASH).agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    )
-    lines = stored(lines.join(often.select(*HASH), HASH, "left_semi"), "line-candidates")
-    store, dropped = LineRuns(), None
+    often = lines.select("doc_id", *HASH).distinct().groupBy(*HASH).agg(F.count("*").alias("n"))
+    often = stored(often.where(F.col("n") >= min_docs).select(*HASH), "line-often")
+    lines = stored(spread_join(lines, often, HASH), "line-candidates")
+    store, dropped, doc = LineRuns(spark), None, F.struct("doc_id").alias("doc")  # a struct: null is a value like others
     for batch in _batches(lines, n_batches):
         mine = lines.where(batch)
-        first = store.add(mine.groupBy(*HASH).agg(F.max("doc").alias("doc")))
-        part = mine.join(first, [*HASH, "doc"], "left_anti")
+        # stored, as the anti-joins would else be moved before the sums, where a hot key has many rows
+        first = store.add(stored(mine.groupBy(*HASH).agg(F.max(doc).alias("doc")), "line-batch"))
+        part = mine.withColumn("doc", doc).join(first, [*HASH, "doc"], "left_anti")
         dropped = part if dropped is None else dropped.unionByName(part)
+    store.close()
     at = dropped.groupBy(F.col("doc").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set("i").alias("at"))
-    joined = base.withColumn("t", F.xxhash64("text")).join(
-        at, (F.col("doc") == F.col("_d")) & (F.col("t") == F.col("_t")), "left"
-    )
+    joined = base.withColumn("t", F.xxhash64("text")).join(at, (doc == F.col("_d")) & (F.col("t") == F.col("_t")), "left")
     kept = F.when(F.col("at").isNull(), F.col("text")).otherwise(_without("text", "at"))
     return joined.select(
         "doc_id",
         (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("at").isNull(), F.lit(0)).otherwise(F.size("at")).cast("long").alias("n_dropped"),
         kept.alias("kept"),
-    ).withColumn("n_dropped", F.greatest("n_dropped", F.lit(0).cast("long")))
+    )
 
 
 def _without(text: str, at: str) -> Column:
