@@ -28,6 +28,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    QUERIES["class_count"](spark, "/root/testdata/sf0.001").collect()  # Spark's own start is not a query's time
     seconds = {}
     for name in HEADLINE:
         began = time.time()

@@ -16,6 +16,12 @@ LINE = (
     r"^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+"
     r'(<[^>]*>|_:\S+|"(?:[^"\\]++|\\.)*+"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)\s*\.\s*(?:#.*)?$'
 )
+#: Pieces of an escaped text: a pair of surrogates, a code point of 4 or 8 digits, another escape, plain characters.
+_PIECE = (
+    r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|(?s)\\.|[^\\]++|\\"
+)
+#: Fixed: what the letter after a backslash stands for; any other character stands for itself.
+_ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
 
 
 def strip_brackets(term: Column) -> Column:
@@ -46,25 +52,47 @@ def literal_datatype(raw: Column) -> Column:
 
 
 def literal_lang(raw: Column) -> Column:
-    found = F.regexp_extract(raw, r'^"(?:[^"\\]++|\\.)*+"@([A-Za-z0-9-]+)$', 1)
+    found = F.regexp_extract(raw, r'(?s)^"(?:[^"\\]++|\\.)*+"@([A-Za-z0-9-]+)$', 1)
     return F.when(found != "", found)
 
 
+def unescape(text: Column) -> Column:
+    r"""A text with its escapes read: \n, \r, \t, \b, \f, \uXXXX (pairs of surrogates too), \UXXXXXXXX; \ before others is dropped."""
+
+    def code_points(hex_digits: Column, charset: str) -> Column:
+        return F.decode(F.unhex(hex_digits), charset)
+
+    def one(x: Column) -> Column:
+        letter = F.substring(x, 2, 1)
+        out = F.when(F.length(x) == 12, code_points(F.replace(F.substring(x, 3, 10), F.lit("\\u"), F.lit("")), "UTF-16BE"))
+        out = out.when((letter == "u") & (F.length(x) == 6), code_points(F.substring(x, 3, 4), "UTF-16BE"))
+        out = out.when((letter == "U") & (F.length(x) == 10), code_points(F.substring(x, 3, 8), "UTF-32"))
+        for k, v in _ESCAPES.items():
+            out = out.when(letter == k, F.lit(v))
+        return F.when(x.startswith("\\"), out.otherwise(letter)).otherwise(x)
+
+    pieces = F.regexp_extract_all(text, F.lit(_PIECE), 0)
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+
+
 def term_value(raw: Column) -> Column:
-    """An IRI without brackets, a literal's text unescaped, a blank node as it is."""
-    inside = F.regexp_extract(raw, r'^"((?:[^"\\]++|\\.)*+)"', 1)
-    mark = "\u0001"
-    for escaped, plain in (("\\\\", mark), ('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), (mark, "\\")):
-        inside = F.replace(inside, F.lit(escaped), F.lit(plain))
-    return F.when(raw.startswith("<"), strip_brackets(raw)).when(raw.startswith('"'), inside).otherwise(raw)
+    """An IRI without brackets, a literal's text, both with escapes read; a blank node as it is."""
+    inside = F.regexp_extract(raw, r'(?s)^"((?:[^"\\]++|\\.)*+)"', 1)
+    return (
+        F.when(raw.startswith("<"), unescape(strip_brackets(raw))).when(raw.startswith('"'), unescape(inside)).otherwise(raw)
+    )
 
 
-def raw_literal(value: Column, datatype: Column, lang: Column) -> Column:
-    """The N-Triples form of a literal."""
-    out = value
+def escape(text: Column) -> Column:
+    out = text
     for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         out = F.replace(out, F.lit(plain), F.lit(escaped))
-    quoted = F.concat(F.lit('"'), out, F.lit('"'))
+    return out
+
+
+def raw_literal(value: Column, datatype: Column, lang: Column) -> Column:
+    """The N-Triples form of a literal."""
+    quoted = F.concat(F.lit('"'), escape(value), F.lit('"'))
     return (
         F.when(lang.isNotNull(), F.concat(quoted, F.lit("@"), lang))
         .when(datatype == XSD_STRING, quoted)
@@ -79,3 +107,14 @@ def local_name(iri: Column) -> Column:
         .when(iri.contains("/"), F.substring_index(iri, "/", -1))
         .otherwise(F.substring_index(iri, ":", -1))
     )
+
+
+def term_hash(term: Column, a: str, b: str) -> list[Column]:
+    """128 bits that stand for a term in joins and groups, as two longs."""
+    return [F.xxhash64(term).alias(a), F.xxhash64(F.lit(7), term).alias(b)]
+
+
+def shape_of_message(message: Column) -> Column:
+    """The shape's IRI that a validation message names, null if it names none."""
+    found = F.regexp_extract(message, f"({SHAPES}[^\\s>\\]]+)", 1)
+    return F.when(found != "", found)

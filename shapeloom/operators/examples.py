@@ -88,3 +88,12 @@ def class_examples(nodes: DataFrame, triples: DataFrame, shapes: DataFrame, know
 def with_examples(shapes: DataFrame, examples: DataFrame) -> DataFrame:
     """shapes with examples of their class and property."""
     return shapes.join(examples, ["c", "p"], "left")
+
+
+def registry(nodes: DataFrame, values: DataFrame) -> DataFrame:
+    """kind (class, node, property, value), iri: all that examples mention."""
+    def kind(df: DataFrame, column: str, name: str) -> DataFrame:
+        return df.select(F.lit(name).alias("kind"), F.col(column).alias("iri"))
+
+    found = kind(nodes, "c", "class").union(kind(nodes, "s", "node")).union(kind(values, "p", "property"))
+    return found.union(kind(values.where("o_kind <> 'literal'"), "actual", "value")).distinct()

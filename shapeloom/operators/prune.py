@@ -26,6 +26,11 @@ def prune_nodes(counts: DataFrame, thresholds: list[tuple[float, int]]) -> DataF
     return found.where(over_support(F.col("n"), F.col("supp_thr")) & is_valid_iri(F.col("c")))
 
 
+def rejected_classes(counts: DataFrame) -> DataFrame:
+    """c, n of classes that no shape is made for, as their name is no IRI."""
+    return counts.where(~F.coalesce(is_valid_iri(F.col("c")), F.lit(False)))
+
+
 def relative_support(support: Column, reservoir: Column, n: Column) -> Column:
     """A threshold scaled to the share of the class that was sampled."""
     return support * F.least(F.lit(1.0), reservoir / n)

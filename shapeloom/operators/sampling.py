@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import small, stored
+from . import profile as P
+
 
 def seeded(seed: int, *parts: str) -> Column:
     return F.md5(F.encode(F.concat(F.lit(f"{seed}|"), *[F.col(p) for p in parts]), "UTF-8"))
@@ -21,25 +24,34 @@ def bernoulli(classes: DataFrame, pct: int, seed: int = 100) -> DataFrame:
     return classes.where(draw < pct)
 
 
-def capacity(counts: DataFrame, largest: int, pct: int, compat: bool = False) -> DataFrame:
+def capacity(counts: DataFrame, largest: int, pct: float, compat: bool = False) -> DataFrame:
     """c, cap. Default: pct percent of the class, at least 1 and at most largest.
 
     compat: the capacity that starts at 1 and, as members arrive, becomes pct times the fill while that is under largest
-    and the fill is at most pct percent of what has arrived.
+    and the fill is at most pct percent of what has arrived. Arrivals that only wait for that share are skipped, so the steps
+    are bounded by largest, however many members the class has.
     """
     if not compat:
         share = F.ceil(F.col("n") * pct / 100)
         return counts.select("c", F.greatest(F.lit(1), F.least(F.lit(largest), share)).cast("int").alias("cap"))
-    start = F.struct(F.lit(0).alias("fill"), F.lit(1).alias("cap"))
+    kind = "struct<k:bigint,fill:bigint,cap:bigint>"
+
+    def state(k: Column, fill: Column, cap: Column) -> Column:
+        return F.struct(k.alias("k"), fill.alias("fill"), cap.alias("cap")).cast(kind)
 
-    def arrive(state: Column, k: Column) -> Column:
-        fill = F.when(state["fill"] < state["cap"], state["fill"] + 1).otherwise(state["fill"])
-        grow = (fill * pct < largest) & ((fill * 100 / k).cast("int") <= pct)
-        return F.struct(fill.alias("fill"), F.when(grow, fill * pct).otherwise(state["cap"]).cast("int").alias("cap"))
+    def step(x: Column, _: Column) -> Column:
+        fill, k = x["fill"] + 1, x["k"] + 1
+        grows = (fill * pct < largest) & (fill * 100.0 / k <= pct)
+        arrival = state(k, fill, F.when(grows, F.floor(fill * pct)).otherwise(x["cap"]))
+        ready = F.greatest(k, F.ceil(x["fill"] * 100.0 / pct).cast("long"))  # when a full one may grow
+        waited = F.when(
+            (x["fill"] * pct < largest) & (ready <= F.col("n")), state(ready, x["fill"], F.floor(x["fill"] * pct))
+        ).otherwise(state(F.col("n").cast("long"), x["fill"], x["cap"]))
+        return F.when(x["k"] >= F.col("n"), x).when(x["fill"] < x["cap"], arrival).otherwise(waited)
 
-    # nothing changes any more once the fill times pct reaches the largest capacity and the reservoir is full
-    state = F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), start, arrive)
-    return counts.select("c", state["cap"].alias("cap"))
+    start = state(F.lit(0), F.lit(0), F.lit(1))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(2 * largest + 2)), start, step)
+    return counts.select("c", end["cap"].cast("int").alias("cap"))
 
 
 def reservoir(classes: DataFrame, k: int | DataFrame, seed: int = 100, neighbours: bool = False) -> DataFrame:
@@ -58,7 +70,7 @@ def reservoir(classes: DataFrame, k: int | DataFrame, seed: int = 100, neighbour
     return ranked.where(F.col("slot") <= most).join(k, "c").where("slot <= cap").select("c", "s", "slot")
 
 
-def sample_entities(classes: DataFrame, counts: DataFrame, strategy: str, largest: int, pct: int, seed: int, compat: bool = False):
+def sample_entities(classes: DataFrame, counts: DataFrame, strategy: str, largest: int, pct: float, seed: int, compat: bool = False):
     """c, s, slot by strategy: standard, neighbour or dynamic."""
     if strategy == "standard":
         return reservoir(classes, largest, seed)
@@ -73,15 +85,21 @@ def sampled_triples(triples: DataFrame, sample: DataFrame) -> DataFrame:
     return triples.join(sample.select("s").distinct(), "s", "left_semi")
 
 
-def sampled_stats(triples: DataFrame, sample: DataFrame, type_predicate: str) -> DataFrame:
-    """shape_stats over sampled entities: confidence is support over the class's sample; n stays the whole class."""
-    from . import profile as P
+def sampled_stats(
+    literals: DataFrame, links: DataFrame, sample: DataFrame, known: DataFrame, type_predicate: str, untyped: str | None = None
+) -> DataFrame:
+    """Stored: shape_table over sampled entities: confidence is support over the class's sample; n stays the whole class.
+
+    literals, links: without type triples; sample: stored c, s; known: stored hashed_types(). A property all of whose objects are untyped
+    stays with a null ot, unless untyped names a type.
+    """
+    own = stored(sample.select(*P.term_hash(F.col("s"), *P.KEY), "c").distinct(), "sample-types")
+    entities = small(stored(own.select(*P.KEY).distinct(), "sample-entities"))
+
+    def mine(df: DataFrame, *columns: str) -> DataFrame:
+        return df.select(*P.term_hash(F.col("s"), *P.KEY), "p", *columns).join(entities, P.KEY, "left_semi")
 
-    classes = P.types(triples, type_predicate)
-    mine = sampled_triples(triples.where(F.col("p") != type_predicate), sample)
-    props = P.entity_prop(P.object_types(mine, classes, untyped=None))
-    own = sample.select("s", "c").distinct()
-    support = P.shape_support(props, own)
+    props = P.typed_properties(mine(literals, "o_datatype"), mine(links, "o"), known, untyped)
     sizes = own.groupBy("c").agg(F.count("*").alias("reservoir"))
-    found = support.join(sizes, "c").join(P.class_count(triples, type_predicate), "c")
-    return found.withColumn("confidence", F.col("support").cast("double") / F.col("reservoir"))
+    found = P.shape_table(props, own).join(sizes, "c").join(P.class_sizes(known), "c")
+    return stored(found.withColumn("confidence", F.col("support").cast("double") / F.col("reservoir")), "sampled-table")

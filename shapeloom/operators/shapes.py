@@ -124,3 +124,20 @@ def low_support_high_confidence(stats: DataFrame, support: int = 100, confidence
     """Classes as object types that are rare but trusted."""
     is_class = ~F.col("ot").startswith("<") & (F.col("ot") != UNDEFINED)
     return stats.where(is_class & (F.col("support") < support) & (F.col("confidence") > confidence))
+
+
+def union_shapes(*sets: DataFrame) -> DataFrame:
+    """One set of shapes of several, such as positive and negative ones; equal rows once. Of equal names the later get a number."""
+    out = sets[0]
+    for more in sets[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    out = out.dropDuplicates([c for c in ("conf_thr", "supp_thr", "c", "p", "polarity", "name") if c in out.columns])
+    by = [c for c in ("conf_thr", "supp_thr") if c in out.columns]
+    k = F.row_number().over(W.partitionBy(*by, "name").orderBy(F.col("polarity").desc(), "c", "p")) - 1
+    return out.withColumn("name", F.when(k == 0, F.col("name")).otherwise(F.concat("name", F.lit("_"), k.cast("string"))))
+
+
+def with_sh_node(shapes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """shapes with node: the node shape of their class, or of the class with most support in their list."""
+    links = sh_node_links(shapes, nodes).groupBy(F.col("name").alias("_name")).agg(F.min("node").alias("node"))
+    return shapes.join(links, F.col("name") == F.col("_name"), "left").drop("_name")

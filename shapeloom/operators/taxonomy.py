@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import drop, stored
+
 
 def ancestors(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """child, parent of the transitive closure of edges, cycles included; each round doubles the length of paths."""
-    spark = edges.sparkSession
-    keep = (lambda x: x.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda x: x.persist())
-    closure = keep(edges.select("child", "parent").where("child <> parent").distinct())
+    """child, parent of the transitive closure of edges, cycles included; each round doubles the length of paths.
+
+    Rounds are written to the shared folder, and only the last one stays. The closure has a row for each class and ancestor.
+    """
+    closure = stored(edges.select("child", "parent").where("child <> parent").distinct(), "ancestors")
     n = closure.count()
     for _ in range(most_rounds):
         step = closure.alias("a").join(closure.alias("b"), F.col("a.parent") == F.col("b.child"))
         longer = step.select("a.child", "b.parent").where("child <> parent")
-        grown = keep(closure.union(longer).distinct())
-        now = grown.count()
-        closure = grown
+        before, closure = closure, stored(closure.union(longer).distinct(), "ancestors")
+        drop(before)
+        now = closure.count()
         if now == n:
-            break
+            return closure
         n = now
-    return closure
+    raise ValueError(f"paths are longer than {most_rounds} rounds reach")
 
 
 def roll_up(edges: DataFrame, counts: DataFrame) -> DataFrame:

@@ -2,35 +2,53 @@
 
 from __future__ import annotations
 
-from ..config import TYPE
-from ..functions.terms import LANG_STRING, SHAPES, UNDEFINED, XSD, XSD_STRING
-from ..sources.triples import EX, MAPPING, SUBJECT_OF
-
+TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+XSD = "http://www.w3.org/2001/XMLSchema#"
+XSD_STRING = f"<{XSD}string>"
+LANG_STRING = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#langString>"
+UNDEFINED = "http://shaclshapes.org/object-type/undefined"
+SHAPES = "http://shaclshapes.org/"
+EX = "http://ex.org/"
 THRESHOLDS = [(0.1, 100), (0.5, 1), (0.25, 500)]
+#: For negative shapes: pairs that leave some on the test tables.
+NEGATIVE = [(0.25, 100_000), (0.9, 1_000_000)]
 LABELS = ("c_name", "n_name", "p_name")
 
+#: What each table says, apart from the engine's own mapping: subject, classes (parted by ;), and properties as column type, with @table for
+#: a reference and ^column for the column of the language.
+_TABLES = """
+region        | 'region/' || r_regionkey | | r_name string
+nation        | 'nation/' || n_nationkey | 'Nation' | n_name string, n_regionkey @region
+customer      | 'customer/' || c_custkey | 'Customer'; 'Customer_' || translate(c_mktsegment, ' #', '__') | c_name string, c_nationkey @nation, c_acctbal double
+supplier      | 'supplier/' || s_suppkey | 'Supplier' | s_name string, s_nationkey @nation, s_acctbal double
+part          | 'part/' || p_partkey | 'Part'; 'Part_' || translate(p_brand, ' #', '__') | p_name string, p_type string, p_size integer, p_retailprice double
+orders        | 'orders/' || o_orderkey | 'Order'; 'Order_' || o_orderstatus | o_custkey @customer, o_totalprice double, o_orderdate dateTime, o_orderpriority string
+lineitem      | 'lineitem/' || l_orderkey || '-' || l_linenumber | 'LineItem'; 'LineItem_' || l_returnflag | l_orderkey @orders, l_partkey @part, l_suppkey @supplier, l_linenumber integer, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate dateTime, l_linestatus string
+events        | 'events/' || event_id | 'Event'; 'Event_' || translate(event_type, ' #', '__') | user_id @user, value double, ts dateTime, props string
+documents     | 'documents/' || doc_id | 'Document'; 'Document_' || translate(lang, ' #', '__') | text ^lang, source string, n_chars integer
+labels        | 'documents/' || doc_id | | quality integer, toxic integer
+pages         | 'pages/' || page_id | 'Page' | url string, html string
+benchmark     | 'benchmark/' || item_id | 'BenchmarkItem' | text string
+conversations | 'conversations/' || conv_id || '-' || turn | 'Turn'; 'Turn_' || translate(role, ' #', '__') | conv_id @conversation, turn integer, text string
+embeddings    | 'embeddings/' || vec_id | 'Embedding' | label integer
+"""
+
 
 def _triples() -> str:
     rows = []
-    for name, (cls, key, extra, columns) in MAPPING.items():
-        s = f"'{EX}{SUBJECT_OF.get(name, name)}/' || " + " || '-' || ".join(f"{k}::VARCHAR" for k in key.split("-"))
-
-        def row(p, o, kind, datatype="NULL", lang="NULL", s=s, name=name):
-            rows.append(
-                f"SELECT {s} AS s, '{p}' AS p, {o} AS o, '{kind}' AS o_kind, {datatype}::VARCHAR AS o_datatype, {lang}::VARCHAR AS o_lang FROM {name}"
-            )
-
-        if cls:
-            row(TYPE, f"'{EX}{cls}'", "iri")
-        if extra:
-            row(TYPE, f"'{EX}{cls}_' || translate({extra}, ' #', '__')", "iri")
-        for c, (kind, what) in columns.items():
-            if kind == "iri":
-                row(EX + c, f"'{EX}{what}/' || {c}::VARCHAR", "iri")
-            elif kind == "lang":
-                row(EX + c, c, "literal", f"'{LANG_STRING}'", what)
-            else:
-                row(EX + c, f"{c}::VARCHAR", "literal", f"'<{XSD}{what}>'")
+    for line in _TABLES.strip().splitlines():
+        table, subject, classes, columns = (x.strip() for x in line.replace("||", "\0").split("|"))
+        head = f"SELECT '{EX}' || {subject} AS s, ".replace("\0", "||")
+        for c in filter(None, classes.replace("\0", "||").split("; ")):
+            rows.append(f"{head}'{TYPE}' AS p, '{EX}' || {c} AS o, 'iri' AS o_kind, NULL::VARCHAR AS o_datatype, NULL::VARCHAR AS o_lang FROM {table}")
+        for column in columns.split(", "):
+            name, kind = column.split(" ")
+            o, k, datatype, lang = f"{name}::VARCHAR", "literal", f"'<{XSD}{kind}>'", "NULL"
+            if kind[0] == "@":
+                o, k, datatype = f"'{EX}{kind[1:]}/' || {name}::VARCHAR", "iri", "NULL"
+            elif kind[0] == "^":
+                datatype, lang = f"'{LANG_STRING}'", kind[1:]
+            rows.append(f"{head}'{EX}{name}' AS p, {o} AS o, '{k}' AS o_kind, {datatype}::VARCHAR AS o_datatype, {lang}::VARCHAR AS o_lang FROM {table}")
     return "SELECT * FROM (" + " UNION ALL ".join(rows) + ") WHERE o IS NOT NULL"
 
 
@@ -45,11 +63,11 @@ _CONSTRAINT = (
 )
 
 
-def _shapes(stats: str, keys: str = "") -> str:
+def _shapes(stats: str, keys: str = "", suffix: str = "ShapeProperty", max1: str = "max1") -> str:
     k = f"{keys}, " if keys else ""
     using = f"({k}c, p)"
     return f"""
-  SELECT {k}c, p, '{SHAPES}' || base || CASE WHEN r = 1 THEN '' ELSE '_' || (r - 1)::VARCHAR END || {_LOCAL.format("c")} || 'ShapeProperty' AS name,
+  SELECT {k}c, p, '{SHAPES}' || base || CASE WHEN r = 1 THEN '' ELSE '_' || (r - 1)::VARCHAR END || {_LOCAL.format("c")} || '{suffix}' AS name,
     CASE WHEN p = '{TYPE}' THEN 'in' WHEN k = 1 THEN 'single' ELSE 'or' END AS kind,
     CASE WHEN p <> '{TYPE}' AND k = 1 THEN node_kind END AS node_kind,
     CASE WHEN p <> '{TYPE}' AND k = 1 THEN datatype END AS datatype,
@@ -66,10 +84,14 @@ def _shapes(stats: str, keys: str = "") -> str:
       FROM {stats} GROUP BY {k}c, p)) g
   JOIN (SELECT {k}c, p, min_by(node_kind, ot) AS node_kind, min_by(datatype, ot) AS datatype, arg_min_null(class, ot) AS class
         FROM (SELECT *, {_CONSTRAINT} FROM {stats}) GROUP BY {k}c, p) d USING {using}
-  LEFT JOIN (SELECT p AS p1, c AS c1 FROM max1) m ON m.p1 = g.p AND m.c1 = g.c"""
+  LEFT JOIN (SELECT p AS p1, c AS c1 FROM {max1}) m ON m.p1 = g.p AND m.c1 = g.c"""
+
 
+def _pairs(thresholds: list) -> str:
+    return "(VALUES " + ", ".join(f"({c}::DOUBLE, {s}::INTEGER)" for c, s in thresholds) + ") t(conf_thr, supp_thr)"
 
-_PAIRS = "(VALUES " + ", ".join(f"({c}::DOUBLE, {s}::INTEGER)" for c, s in THRESHOLDS) + ") t(conf_thr, supp_thr)"
+
+_PAIRS = _pairs(THRESHOLDS)
 CTES = {
     "triples": _triples(),
     "types": f"SELECT DISTINCT s, o AS c FROM triples WHERE p = '{TYPE}'",
@@ -87,6 +109,9 @@ CTES = {
     "kept": "SELECT * FROM pos SEMI JOIN nodes USING (c, conf_thr, supp_thr)",
     "shapes": _shapes("stats"),
     "kept_shapes": _shapes("kept", "conf_thr, supp_thr"),
+    "none1": "SELECT p, c FROM max1 WHERE false",
+    "neg": f"SELECT * FROM stats, {_pairs(NEGATIVE)} WHERE p <> '{TYPE}' AND confidence <= conf_thr AND support < supp_thr",
+    "neg_shapes": _shapes("neg", "conf_thr, supp_thr", "_PS_NotShape", "none1"),
     "members": f"SELECT c, p, ot, support, confidence, {_CONSTRAINT} FROM stats WHERE p <> '{TYPE}' QUALIFY count(*) OVER (PARTITION BY c, p) > 1",
     "scope": "SELECT s, count(*) AS scope FROM types GROUP BY 1",
     "res": "SELECT c, s, row_number() OVER (PARTITION BY c ORDER BY md5('100|' || s), s)::INTEGER AS slot FROM types",
@@ -99,9 +124,9 @@ CTES = {
     "sstats": """SELECT c, p, ot, support, reservoir, n, support::DOUBLE / reservoir AS confidence
                  FROM ssup JOIN (SELECT c, count(*) AS reservoir FROM dyn GROUP BY 1) USING (c) JOIN cc USING (c)""",
     "xnode": "SELECT c, s FROM res WHERE slot <= 5",
-    "xval": """SELECT DISTINCT c, p, o AS actual, o_kind, CASE WHEN o_kind = 'literal' THEN '"' || replace(replace(o, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"' ||
+    "xval": """SELECT DISTINCT c, p, o AS actual, o_kind, CASE WHEN o_kind = 'literal' THEN '"' || replace(replace(replace(replace(replace(o, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') || '"' ||
                CASE WHEN o_lang IS NOT NULL THEN '@' || o_lang WHEN o_datatype = '%s' THEN '' ELSE '^^' || o_datatype END ELSE o END AS raw
-               FROM triples JOIN xnode USING (s) WHERE coalesce(o_datatype, '') NOT IN ('<%sdouble>', '<%sdateTime>')""" % (XSD_STRING, XSD, XSD),
+               FROM triples JOIN xnode USING (s)""" % XSD_STRING,
     "xval5": "SELECT * FROM xval QUALIFY row_number() OVER (PARTITION BY c, p ORDER BY md5('100|' || raw), raw) <= 5",
     "want": """SELECT c AS iri FROM xnode UNION SELECT s FROM xnode UNION SELECT p FROM xval5 UNION SELECT actual FROM xval5 WHERE o_kind <> 'literal'""",
     "lab": "SELECT s AS iri, min(o) AS label FROM triples WHERE p IN (%s) AND s IN (SELECT iri FROM want) GROUP BY 1"
@@ -153,7 +178,7 @@ BODIES = {
     "predicate_frequency": f"SELECT p, count(*) AS n FROM triples WHERE p <> '{TYPE}' GROUP BY 1",
     "prune_nodes": "SELECT c, n, conf_thr, supp_thr FROM nodes",
     "prune_positive": "SELECT c, p, ot, support, n, confidence, conf_thr, supp_thr FROM pos",
-    "prune_negative": f"SELECT c, p, ot, support, n, confidence, conf_thr, supp_thr FROM stats, {_PAIRS} WHERE p <> '{TYPE}' AND confidence <= conf_thr AND support < supp_thr",
+    "prune_negative": "SELECT c, p, ot, support, n, confidence, conf_thr, supp_thr FROM neg",
     "prune_grid": "SELECT conf_thr, supp_thr, count(*) AS kept, count(DISTINCT c) AS classes FROM kept GROUP BY ALL",
     "specific_classes": f"SELECT c, p, ot, support, n, confidence FROM stats WHERE c IN ('{EX}Order', '{EX}Customer', '{EX}Nobody')",
     "node_shapes": f"SELECT '{SHAPES}' || {_LOCAL.format('c')} || 'Shape' AS name, c AS target_class, n AS support FROM cc",
@@ -175,8 +200,26 @@ BODIES = {
         SELECT conf_thr, supp_thr, 'NonLiteral' AS "TYPE", COUNT_CC AS "COUNT" FROM ({_COUNTS}) UNION ALL
         SELECT conf_thr, supp_thr, 'Literal', COUNT_LC FROM ({_COUNTS}))""",
     "stats_nested": """SELECT count(class) AS COUNT_CC_NESTED, count(*) FILTER (node_kind = 'Literal') AS COUNT_LC_NESTED FROM members""",
-    "negative_shapes": f"""SELECT conf_thr, supp_thr, c, p, string_agg(ot, ' ' ORDER BY ot) AS ots FROM (
-        SELECT * FROM stats, {_PAIRS} WHERE p <> '{TYPE}' AND confidence <= conf_thr AND support < supp_thr) GROUP BY ALL""",
+    "negative_shapes": f"SELECT conf_thr, supp_thr, {_SHAPE_COLUMNS} FROM neg_shapes",
+    "untyped_property_shapes": f"""SELECT c, p, CASE WHEN p = '{TYPE}' THEN 'in' WHEN k = 0 THEN 'none' WHEN k = 1 THEN 'single' ELSE 'or' END AS kind
+        FROM (SELECT c, p, count(DISTINCT CASE WHEN ot <> '{UNDEFINED}' THEN ot END) AS k FROM sup GROUP BY ALL)""",
+    "invalid_classes": "SELECT * FROM (VALUES ('no_iri', 5::BIGINT), (':x', 2::BIGINT)) t(c, n)",
+    "class_totals": "SELECT count(*) AS classes, sum(n)::BIGINT AS total FROM cc",
+    "sampled_class_totals": "SELECT count(DISTINCT c) AS classes, count(*) AS total FROM dyn",
+    "predicate_frequency_by_class": f"SELECT p, count(*) AS n FROM triples JOIN types USING (s) WHERE p <> '{TYPE}' GROUP BY 1",
+    "example_registry": """SELECT 'class' AS kind, c AS iri FROM xnode UNION SELECT 'node', s FROM xnode UNION SELECT 'property', p FROM xval5
+        UNION SELECT 'value', actual FROM xval5 WHERE o_kind <> 'literal'""",
+    "pattern_classes": "SELECT c, count(*) AS n FROM types GROUP BY 1",
+    "pattern_properties": f"SELECT DISTINCT p FROM triples WHERE p <> '{TYPE}' AND s IN (SELECT s FROM types WHERE c = '{EX}Order')",
+    "pattern_filter": f"SELECT s, o AS v FROM triples WHERE p = '{EX}p_size' AND TRY_CAST(o AS DOUBLE) > 45 AND s IN (SELECT s FROM types WHERE c = '{EX}Part')",
+    "pattern_optional": f"SELECT y.s AS d, t.o AS q FROM triples y LEFT JOIN (SELECT s, o FROM triples WHERE p = '{EX}quality') t ON t.s = y.s WHERE y.p = '{TYPE}' AND y.o = '{EX}Document'",
+    "pattern_values": "SELECT 'http://ex.org/nation/' || n_nationkey AS s, n_name AS n FROM nation WHERE n_nationkey IN (1, 3)",
+    "pattern_top": "SELECT c, n FROM cc ORDER BY n DESC, c LIMIT 5",
+    "pattern_construct": """SELECT DISTINCT 'http://ex.org/orders/' || o_orderkey AS s, 'http://ex.org/orderedFrom' AS p, n_name AS o, 'literal' AS o_kind
+        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
+    "pattern_ask": "SELECT * FROM (VALUES ('ASK { ?s a ex:Order }', true), ('ASK { ?s a ex:Nobody }', false)) t(ask, met)",
+    "entity_stars": "SELECT s, count(*) AS n FROM triples WHERE s IN (SELECT s FROM xnode) GROUP BY 1",
+    "ntriples_roundtrip": "SELECT p, o_kind, o_datatype, count(*) AS n FROM triples GROUP BY ALL",
     "sample_bernoulli": "SELECT s, c FROM types WHERE ('0x' || substr(md5('100|' || s || c), 1, 8))::BIGINT % 100 < 20",
     "sample_reservoir": "SELECT c, s, slot FROM res WHERE slot <= 50",
     "sample_neighbor": "SELECT c, s, slot FROM nbr WHERE slot <= 50",
@@ -205,7 +248,7 @@ BODIES = {
         'fewer values than 1' AS message FROM types WHERE c = '{EX}Document' AND s NOT IN (SELECT s FROM triples WHERE p = '{EX}quality')""",
     "validate_max_count": f"""SELECT 'max' AS source_shape, s AS focus_node, '{EX}l_partkey' AS result_path, NULL::VARCHAR AS value, 'maxCount' AS component,
         'more values than 1' AS message FROM val WHERE p = '{EX}l_partkey' AND {_is("LineItem")} GROUP BY s HAVING count(*) > 1""",
-    "validate_datatype": _bad("dt", "source", "datatype", f"'not of datatype {XSD_STRING}'", f"p = '{EX}source' AND o_datatype <> '{XSD_STRING}' AND {_is('Document')}"),
+    "validate_datatype": _bad("dt", "n_chars", "datatype", f"'not of datatype {XSD_STRING}'", f"p = '{EX}n_chars' AND o_datatype <> '{XSD_STRING}' AND {_is('Document')}"),
     "validate_class": _bad("cls", "n_regionkey", "class", f"'not an instance of {EX}Region'", f"p = '{EX}n_regionkey' AND {_is('Nation')}"),
     "validate_node_kind": _bad("kind", "n_name", "nodeKind", "'not of kind IRI'", f"p = '{EX}n_name' AND o_kind <> 'iri' AND {_is('Nation')}"),
     "validate_in": _bad("in", "o_orderpriority", "in", "'not in the list'", f"p = '{EX}o_orderpriority' AND o NOT IN ('1-URGENT', '2-HIGH') AND {_is('Order')}"),
@@ -218,7 +261,14 @@ BODIES = {
         FROM val WHERE {_is("Nation")} AND p NOT IN ('{TYPE}', '{EX}n_name')""",
     "validate_not": f"""SELECT source_shape, focus_node, result_path, component, property, support, confidence, class FROM (
         SELECT DISTINCT 'not' AS source_shape, o.s AS focus_node, n.p AS result_path, 'not' AS component, n.p AS property, n.ot, n.support, n.confidence, n.c AS class
-        FROM (SELECT * FROM stats WHERE p <> '{TYPE}' AND confidence <= 0.25 AND support < 500) n JOIN types y USING (c) JOIN ot o ON o.s = y.s AND o.p = n.p AND o.ot = n.ot)""",
+        FROM (SELECT * FROM neg WHERE conf_thr = {NEGATIVE[0][0]}) n JOIN types y USING (c) JOIN ot o ON o.s = y.s AND o.p = n.p AND o.ot = n.ot)""",
+    "validate_node": """WITH bad_part AS (SELECT p_partkey FROM part WHERE p_size > 45 OR NOT p_name < p_type),
+        bad_order AS (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0),
+        line AS (SELECT DISTINCT 'http://ex.org/lineitem/' || l_orderkey || '-' || l_linenumber AS s, l_partkey, l_orderkey FROM lineitem)
+        SELECT DISTINCT 'lp' AS source_shape, s AS focus_node, 'http://ex.org/l_partkey' AS result_path, 'http://ex.org/part/' || l_partkey AS value,
+          'node' AS component, 'not a part' AS message FROM line WHERE l_partkey IN (SELECT p_partkey FROM bad_part) UNION ALL
+        SELECT DISTINCT 'lo', s, 'http://ex.org/l_orderkey', 'http://ex.org/orders/' || l_orderkey, 'node', 'not a order' FROM line
+        WHERE l_orderkey IN (SELECT o_orderkey FROM bad_order)""",
     "taxonomy_rollup": """SELECT c, own, total FROM (WITH RECURSIVE up AS (SELECT child, parent FROM edges WHERE child <> parent UNION SELECT up.child, e.parent FROM up JOIN edges e ON up.parent = e.child WHERE up.child <> e.parent)
         SELECT k.c, coalesce(cc.n, 0)::BIGINT AS own, (coalesce(cc.n, 0) + coalesce(b.n, 0))::BIGINT AS total FROM (SELECT c FROM cc UNION SELECT child FROM edges UNION SELECT parent FROM edges) k
         LEFT JOIN cc ON cc.c = k.c LEFT JOIN (SELECT parent, sum(cc.n) AS n FROM (SELECT DISTINCT * FROM up) u JOIN cc ON cc.c = u.child GROUP BY 1) b ON b.parent = k.c)""",
@@ -227,11 +277,39 @@ BODIES = {
     "taxonomy_prune": "SELECT child, parent FROM edges WHERE child IN (SELECT c FROM cc WHERE n > 100) AND parent IN (SELECT c FROM cc WHERE n > 100)",
     "min_cardinality_experiment": f"""SELECT conf_thr, supp_thr, c, p, count(*) AS n_types, max((support > supp_thr AND confidence > conf_thr)::INTEGER) AS min_count
         FROM stats, (VALUES (0.75::DOUBLE, 1), (0.75::DOUBLE, 100), (0.99::DOUBLE, 50)) t(conf_thr, supp_thr) WHERE p <> '{TYPE}' GROUP BY ALL""",
-    "low_support_high_conf": f"SELECT c, p, ot, support, n, confidence FROM stats WHERE ot NOT LIKE '<%' AND ot <> '{UNDEFINED}' AND support < 100 AND confidence > 0.10",
+    "low_support_high_conf": f"SELECT c, p, ot, support, n, confidence FROM stats WHERE ot NOT LIKE '<%' AND ot <> '{UNDEFINED}' AND support < 5000 AND confidence > 0.05",
     "corpus_filter": f"SELECT p, count(*) AS n FROM triples WHERE p <> '{EX}c_name' AND (o_lang IS NULL OR o_lang = 'en') GROUP BY 1",
+    "turtle_export": "SELECT conf_thr, supp_thr, name, block FROM ttl",
 }
 
 
+def _blocks(nodes: str, found: str, members: str, conf: str, supp: str, support: str) -> str:
+    """The Turtle text of each shape. support: an aggregate for node shapes."""
+    by, line = "conf_thr, supp_thr, ", "' ;' || chr(10) || '    '"
+    constraint = "'sh:nodeKind sh:' || node_kind, 'sh:datatype ' || datatype, 'sh:class <' || class || '>'"
+    notes = f"'<{SHAPES}support> ' || support::VARCHAR, '<{SHAPES}confidence> ' || format('{{:e}}', confidence)"
+    thr = f"{conf}::DOUBLE AS conf_thr, {supp}::INTEGER AS supp_thr"
+    return f"""
+  SELECT conf_thr, supp_thr, name, '<' || name || '>' || chr(10) || '    ' || concat_ws({line}, 'a sh:PropertyShape', 'sh:path <' || f.p || '>',
+    CASE WHEN kind = 'in' THEN 'sh:in ( <' || f.c || '> )' END, {constraint}, 'sh:minCount ' || min_count, 'sh:maxCount ' || max_count,
+    'sh:or ( ' || ors || ' )', {notes}) || ' .' AS block
+  FROM (SELECT {thr}, c, p, name, kind, node_kind, datatype, class, min_count, max_count, support, confidence FROM {found}) f
+  LEFT JOIN (SELECT {thr}, c, p, string_agg('[ ' || concat_ws(' ; ', {constraint}, {notes}) || ' ]', ' ' ORDER BY ot) AS ors
+    FROM (SELECT *, {_CONSTRAINT} FROM {members}) WHERE p <> '{TYPE}' GROUP BY ALL HAVING count(*) > 1) m USING ({by}c, p)
+  UNION ALL
+  SELECT t.conf_thr, t.supp_thr, name, '<' || name || '>' || chr(10) || '    ' || concat_ws({line}, 'a sh:NodeShape', 'sh:targetClass ' || targets,
+    'sh:property ' || names, '<{SHAPES}support> ' || support::VARCHAR) || ' .'
+  FROM (SELECT {thr}, '{SHAPES}' || {_LOCAL.format("c")} || 'Shape' AS name, string_agg('<' || c || '>', ', ' ORDER BY c) AS targets, {support} AS support
+        FROM {nodes} GROUP BY ALL) t
+  LEFT JOIN (SELECT {thr}, '{SHAPES}' || {_LOCAL.format("c")} || 'Shape' AS nn, string_agg('<' || x.name || '>', ', ' ORDER BY x.name) AS names
+        FROM {found} x GROUP BY ALL) z ON z.nn = t.name AND z.conf_thr = t.conf_thr AND z.supp_thr = t.supp_thr"""
+
+
+CTES["ttl"] = _blocks("nodes", "kept_shapes", "kept", "conf_thr", "supp_thr", "NULL::BIGINT") + " UNION ALL " + _blocks(
+    "cc", "shapes", "stats", "-1", "-1", "sum(n)"
+)
+
+
 def sql(name: str) -> str:
     """The query's body behind the steps that it needs, directly or through others."""
     import re
@@ -246,7 +324,8 @@ def sql(name: str) -> str:
 
     look(body)
     text = ", ".join(f"{k} AS ({v})" for k, v in CTES.items() if k in need)
-    return f"WITH {text} {body}".replace("arg_min_null(class, ot)", "min(class)")
+    head = f"WITH {text} " if text else ""
+    return (head + body).replace("arg_min_null(class, ot)", "min(class)")
 
 
 ORACLES = {name: sql(name) for name in BODIES}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import cached_property, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,9 @@ from ..operators import prune, shapes, statistics, taxonomy
 from ..operators import sampling as R
 from ..operators import validation as V
 from ..sources import triples as T
-from .oracle import LABELS, ORACLES, THRESHOLDS
+from ..storage import new_path, stored
+from . import patterns
+from .oracle import LABELS, NEGATIVE, ORACLES, THRESHOLDS
 
 __all__ = ["ORACLES", "QUERIES"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,25 +27,62 @@ SEED, SAMPLE_MAX, SAMPLE_PCT = 100, 200, 25
 
 
 class Graph:
-    """The steps that queries share, each made when it is first asked for."""
+    """The steps that queries share, each made when it is first asked for. Tables that more than one step reads are stored."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.triples = spark, T.from_tables(spark, sf_dir)
-        typed = T.from_tables(spark, sf_dir, part="types")
-        self.types, self.counts = P.types(typed), P.class_count(typed)
-        self.props = P.entity_prop(P.object_types(self.triples, self.types))
+        self.spark, self.sf_dir, self.frames = spark, sf_dir, {}
+
+    def part(self, name: str | None) -> DataFrame:
+        return T.from_tables(self.spark, self.sf_dir, part=name, frames=self.frames)
+
+    @cached_property
+    def triples(self) -> DataFrame:
+        return self.part(None)
+
+    @cached_property
+    def typed(self) -> DataFrame:
+        return self.part("types")
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return self.part("links")
+
+    @cached_property
+    def literals(self) -> DataFrame:
+        return self.part("literals")
+
+    @property
+    def types(self) -> DataFrame:
+        return P.types(self.typed)
+
+    @cached_property
+    def known(self) -> DataFrame:
+        return stored(P.hashed_types(self.typed), "types")
+
+    @property
+    def counts(self) -> DataFrame:
+        return P.class_sizes(self.known)
+
+    def props(self, untyped: str | None = UNDEFINED) -> DataFrame:
+        every = self.links.select(*P.term_hash(F.col("s"), *P.KEY), "p", "o").withColumn("k", F.lit(1).cast("long"))
+        return P.typed_properties(self.literals, every.unionByName(P.type_links(self.known)), self.known, untyped)
+
+    @cached_property
+    def table(self) -> DataFrame:
+        """c, p, ot, support, least, most, n, confidence: as small as the schema."""
+        return stored(P.with_confidence(P.shape_table(self.props(), self.known), self.counts), "shape-table")
 
     @property
     def support(self) -> DataFrame:
-        return P.shape_support(self.props, self.types)
+        return self.table.select("c", "p", "ot", "support")
 
     @property
     def stats(self) -> DataFrame:
-        return P.with_confidence(self.support, self.counts)
+        return self.table.select("c", "p", "ot", "support", "n", "confidence")
 
     @property
     def max_one(self) -> DataFrame:
-        return P.max_count_one(P.entity_cardinality(self.props), self.types)
+        return P.max_one_of(self.table)
 
     @property
     def kept(self) -> DataFrame:
@@ -63,12 +102,17 @@ class Graph:
         return shapes.node_shapes(prune.prune_nodes(self.counts, THRESHOLDS), KEYS)
 
     @property
+    def negative(self) -> DataFrame:
+        return prune.prune_negative(self.stats, NEGATIVE)
+
+    @cached_property
     def sample(self) -> DataFrame:
-        return R.sample_entities(self.types, self.counts, "dynamic", SAMPLE_MAX, SAMPLE_PCT, SEED)
+        return stored(R.sample_entities(self.types, self.counts, "dynamic", SAMPLE_MAX, SAMPLE_PCT, SEED), "sample")
 
-    @property
+    @cached_property
     def sampled(self) -> DataFrame:
-        return R.sampled_stats(self.triples, self.sample, TYPE).select("c", "p", "ot", "support", "reservoir", "n", "confidence")
+        found = R.sampled_stats(self.literals, self.links, self.sample, self.known, TYPE)
+        return found.where("ot IS NOT NULL").select("c", "p", "ot", "support", "reservoir", "n", "confidence")
 
     @property
     def edges(self) -> DataFrame:
@@ -76,14 +120,18 @@ class Graph:
         some = self.counts.where(F.col("c").startswith(EX) & F.col("c").contains("_")).select(F.col("c").alias("child"), up.alias("parent"))
         return some.union(self.counts.select(up, F.lit(f"{EX}Thing"))).distinct()
 
-    @property
+    @cached_property
+    def example_nodes(self) -> DataFrame:
+        return stored(X.example_nodes(self.types), "example-nodes")
+
+    @cached_property
     def example_values(self) -> DataFrame:
-        return X.example_values(self.triples, X.example_nodes(self.types))
+        return stored(X.example_values(self.triples, self.example_nodes), "example-values")
 
-    @property
+    @cached_property
     def labels(self) -> DataFrame:
-        wanted = X.wanted_labels(X.example_nodes(self.types), self.example_values)
-        return X.labels(self.triples, wanted, tuple(EX + x for x in LABELS))
+        wanted = X.wanted_labels(self.example_nodes, self.example_values)
+        return stored(X.labels(self.triples, wanted, tuple(EX + x for x in LABELS)), "example-labels")
 
     def rows(self, schema: str, *rows: tuple) -> DataFrame:
         return self.spark.createDataFrame(list(rows), schema)
@@ -109,7 +157,7 @@ def class_count(g):
 
 @query
 def class_count_distinct(g):
-    return P.class_count_distinct(g.triples)
+    return g.known.groupBy("c").agg(F.count("*").alias("n"))
 
 
 @query
@@ -119,12 +167,12 @@ def entity_classes(g):
 
 @query
 def class_properties(g):
-    return P.class_properties(g.triples, g.types)
+    return P.class_properties(g.table)
 
 
 @query
 def class_prop_types(g):
-    return P.class_prop_types(g.props, g.types).select("c", "p", F.array_join("ots", " ").alias("ots"))
+    return P.class_prop_types(g.table).select("c", "p", F.array_join("ots", " ").alias("ots"))
 
 
 @query
@@ -134,20 +182,17 @@ def shape_support(g):
 
 @query
 def shape_confidence(g):
-    return g.stats.select("c", "p", "ot", "support", "n", "confidence")
+    return g.stats
 
 
 @query
 def literal_datatypes(g):
-    literals = g.triples.where("o_kind = 'literal'").select("s", "p", F.col("o_datatype").alias("ot")).distinct()
-    return literals.join(g.types, "s").select("c", "p", "ot").distinct()
+    return g.support.where(F.col("ot").startswith("<")).select("c", "p", "ot")
 
 
 @query
 def iri_object_classes(g):
-    return P.object_types(g.triples.where("o_kind <> 'literal'"), g.types, None).where("ot IS NOT NULL").distinct().join(
-        g.types, "s"
-    ).select("c", "p", "ot").distinct()
+    return g.support.where(~F.col("ot").startswith("<") & (F.col("ot") != UNDEFINED)).select("c", "p", "ot")
 
 
 @query
@@ -157,12 +202,12 @@ def undefined_objects(g):
 
 @query
 def entity_cardinality(g):
-    return P.entity_cardinality(g.props).groupBy("p", "cnt").agg(F.count("*").alias("entities"))
+    return P.entity_totals(g.props()).groupBy("p", "cnt").agg(F.count("*").alias("entities"))
 
 
 @query
 def strict_cardinality(g):
-    return P.entity_cardinality(g.props, True, g.triples).groupBy("p", "cnt").agg(F.count("*").alias("entities"))
+    return P.strict_cardinality(g.triples).groupBy("p", "cnt").agg(F.count("*").alias("entities"))
 
 
 @query
@@ -195,7 +240,7 @@ def prune_positive(g):
 
 @query
 def prune_negative(g):
-    return prune.prune_negative(g.stats, THRESHOLDS).select(*_PRUNED)
+    return g.negative.select(*_PRUNED)
 
 
 @query
@@ -272,8 +317,40 @@ def stats_nested(g):
 
 @query
 def negative_shapes(g):
-    found = prune.prune_negative(g.stats, THRESHOLDS)
-    return found.groupBy(*KEYS, "c", "p").agg(_joined(F.collect_list("ot")).alias("ots"))
+    return _flat(shapes.property_shapes(g.negative, keys=KEYS, polarity="not"), KEYS)
+
+
+@query
+def untyped_property_shapes(g):
+    """Kinds of shapes where objects without a class give no type: a property may have none."""
+    found = P.with_confidence(P.shape_table(g.props(None), g.known), g.counts)
+    return shapes.property_shapes(found).select("c", "p", "kind")
+
+
+@query
+def invalid_classes(g):
+    more = g.rows("c string, n long", ("no_iri", 5), (":x", 2))
+    return prune.rejected_classes(g.counts.union(more))
+
+
+@query
+def class_totals(g):
+    return P.class_totals(g.counts)
+
+
+@query
+def sampled_class_totals(g):
+    return P.class_totals(g.sample.groupBy("c").agg(F.count("*").alias("n")))
+
+
+@query
+def predicate_frequency_by_class(g):
+    return P.predicate_frequency_by_class(g.triples, g.types)
+
+
+@query
+def example_registry(g):
+    return X.registry(g.example_nodes, g.example_values)
 
 
 @query
@@ -339,14 +416,14 @@ def type_set_groups(g):
 
 @query
 def mixed_property_ask(g):
-    return P.mixed_as_literal(g.triples, g.types)
+    return P.mixed_literal(g.support).select("c", "p", "ot", "support")
 
 
 @query
 def support_recount(g):
     keys = g.stats.where("confidence > 0.9").select("c", "p", "ot")
     more = g.rows("c string, p string, ot string", (f"{EX}Nobody", f"{EX}nothing", UNDEFINED))
-    return P.recount(g.triples, keys.union(more)).select("c", "p", "ot", "support")
+    return P.recount(g.table, keys.union(more)).select("c", "p", "ot", "support")
 
 
 @query
@@ -367,7 +444,7 @@ def property_kinds(g):
 
 @query
 def class_examples(g):
-    return X.class_examples(X.example_nodes(g.types), g.triples, g.shapes, g.labels)
+    return X.class_examples(g.example_nodes, g.triples, g.shapes, g.labels)
 
 
 def _violations(g, schema: str, *rows: tuple) -> DataFrame:
@@ -386,7 +463,7 @@ def validate_max_count(g):
 
 @query
 def validate_datatype(g):
-    return _violations(g, "datatype string", ("dt", f"{EX}Document", f"{EX}source", XSD_STRING))
+    return _violations(g, "datatype string", ("dt", f"{EX}Document", f"{EX}n_chars", XSD_STRING))
 
 
 @query
@@ -429,11 +506,30 @@ def validate_closed(g):
 
 @query
 def validate_not(g):
-    bad = prune.prune_negative(g.stats, [(0.25, 500)])
-    negative = bad.select(F.lit("not").alias("shape"), F.col("c").alias("target_class"), F.col("p").alias("path"), "ot", "support", "confidence")
+    negative = g.negative.where(F.col("conf_thr") == NEGATIVE[0][0]).select(
+        F.lit("not").alias("shape"), F.col("c").alias("target_class"), F.col("p").alias("path"), "ot", "support", "confidence"
+    )
     return V.not_violations(negative, g.triples)
 
 
+@query
+def validate_node(g):
+    """Shapes within shapes: line items, whose orders, whose customers."""
+    kinds = "shape string, node_shape string, target_class string, path string, max_inclusive double, min_inclusive double, less_than string, node string"
+    table = g.rows(
+        kinds,
+        ("lp", "line", f"{EX}LineItem", f"{EX}l_partkey", None, None, None, "part"),
+        ("lo", "line", f"{EX}LineItem", f"{EX}l_orderkey", None, None, None, "order"),
+        ("size", "part", None, f"{EX}p_size", 45.0, None, None, None),
+        ("name", "part", None, f"{EX}p_name", None, None, f"{EX}p_type", None),
+        ("oc", "order", None, f"{EX}o_custkey", None, None, None, "customer"),
+        ("bal", "customer", None, f"{EX}c_acctbal", None, 0.0, None, None),
+    )
+    allowed = [f"{EX}{x}" for x in ("o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")]
+    closed = g.rows("node_shape string, target_class string, allowed array<string>", ("order", None, allowed))
+    return V.node_violations(table, g.triples, closed=closed)
+
+
 @query
 def taxonomy_rollup(g):
     return taxonomy.roll_up(g.edges, g.counts)
@@ -456,7 +552,7 @@ def min_cardinality_experiment(g):
 
 @query
 def low_support_high_conf(g):
-    return shapes.low_support_high_confidence(g.stats).select("c", "p", "ot", "support", "n", "confidence")
+    return shapes.low_support_high_confidence(g.stats, 5000, 0.05).select("c", "p", "ot", "support", "n", "confidence")
 
 
 @query
@@ -467,16 +563,72 @@ def corpus_filter(g):
 
 @query
 def ntriples_roundtrip(g):
-    """Triples by predicate and kind after they were written as lines and parsed."""
-    back = T.parse_lines(T.to_lines(g.triples))
-    return back.groupBy("p", "o_kind", "o_datatype").agg(F.count("*").alias("n"))
+    """Triples by predicate and kind after they were written as N-Triples files and read."""
+    path = new_path(g.spark, "graph.nt")
+    T.to_lines(g.triples).write.text(path)
+    return T.ntriples(g.spark, path).groupBy("p", "o_kind", "o_datatype").agg(F.count("*").alias("n"))
+
+
+def _pattern(text: str) -> str:
+    return f"PREFIX ex: <{EX}> {text}"
+
+
+@query
+def pattern_classes(g):
+    return patterns.select(g.triples, "SELECT ?c (COUNT(DISTINCT ?s) AS ?n) WHERE { ?s a ?c } GROUP BY ?c")
+
+
+@query
+def pattern_properties(g):
+    text = patterns.bind("SELECT DISTINCT ?p WHERE { ?s :kind :Class . ?s ?p ?o . FILTER(?p != :kind) }", Class=f"{EX}Order", kind=TYPE)
+    return patterns.select(g.triples, text)
+
+
+@query
+def pattern_filter(g):
+    text = "SELECT ?s ?v WHERE { ?s a ex:Part ; ex:p_size ?v . FILTER(isLiteral(?v) && ?v > 45) }"
+    return patterns.select(g.triples, _pattern(text))
+
+
+@query
+def pattern_optional(g):
+    return patterns.select(g.triples, _pattern("SELECT ?d ?q WHERE { ?d a ex:Document . OPTIONAL { ?d ex:quality ?q } }"))
+
+
+@query
+def pattern_values(g):
+    text = f"SELECT ?s ?n WHERE {{ VALUES ?s {{ <{EX}nation/1> <{EX}nation/3> <{EX}nation/x> }} ?s ex:n_name ?n }}"
+    return patterns.select(g.triples, _pattern(text))
+
+
+@query
+def pattern_top(g):
+    text = "SELECT ?c (COUNT(?s) AS ?n) WHERE { ?s a ?c } GROUP BY ?c ORDER BY DESC(?n) ?c LIMIT 5"
+    return patterns.select(g.triples, text)
+
+
+@query
+def pattern_construct(g):
+    text = "CONSTRUCT { ?o ex:orderedFrom ?n } WHERE { ?o ex:o_custkey ?c . ?c ex:c_nationkey ?k . ?k ex:n_name ?n }"
+    return patterns.construct(g.triples, _pattern(text)).select("s", "p", "o", "o_kind")
+
+
+@query
+def pattern_ask(g):
+    asked = ("ASK { ?s a ex:Order }", "ASK { ?s a ex:Nobody }")
+    return g.rows("ask string, met boolean", *[(x, patterns.ask(g.triples, _pattern(x))) for x in asked])
+
+
+@query
+def entity_stars(g):
+    return patterns.entity(g.triples, g.example_nodes).groupBy("s").agg(F.count("*").alias("n"))
 
 
 @query
 def turtle_export(g):
-    """value: the lines of the Turtle file of the pruned shapes at the first pair of thresholds."""
+    """conf_thr, supp_thr, name, block: the text of each shape, of the default shapes (thresholds -1) and of each pair of thresholds."""
     from ..sources import turtle
 
-    first = (F.col("conf_thr") == THRESHOLDS[0][0]) & (F.col("supp_thr") == THRESHOLDS[0][1])
-    text = turtle.write_shapes(g.pruned_nodes.where(first), g.kept_shapes.where(first))
-    return g.rows("line int, value string", *enumerate(text.splitlines()))
+    pruned = turtle.blocks(g.pruned_nodes.drop("support"), g.kept_shapes, KEYS)
+    default = turtle.blocks(shapes.node_shapes(g.counts), g.shapes)
+    return pruned.unionByName(default.withColumns({"conf_thr": F.lit(-1.0), "supp_thr": F.lit(-1)}))
\ No newline at end of file

@@ -24,8 +24,13 @@ def read_support_list(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_separated(df: DataFrame, path: str, sep: str = ",", header: bool = True) -> None:
-    df.write.mode("overwrite").csv(path, sep=sep, header=header)
+def write_separated(df: DataFrame, path: str, sep: str = ",", header: bool = True, mode: str = "overwrite") -> None:
+    df.write.mode(mode).csv(path, sep=sep, header=header)
+
+
+def append_row(spark: SparkSession, path: str, **columns) -> None:
+    """One more row of a log of separated values."""
+    write_separated(spark.createDataFrame([tuple(columns.values())], list(columns)), path, mode="append")
 
 
 def write_support(stats: DataFrame, path: str) -> None:
@@ -37,5 +42,5 @@ def write_class_frequency(counts: DataFrame, path: str) -> None:
     write_separated(counts.select(F.col("c").alias("Class"), F.col("n").alias("Frequency")), path)
 
 
-def write_lines(df: DataFrame, path: str) -> None:
-    df.select("value").write.mode("overwrite").text(path)
+def write_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    df.select("value").write.mode(mode).text(path)

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from ..config import TYPE
 from ..functions import terms as T
+from ..storage import stored
 
 COLUMNS = ["s", "p", "o", "o_kind", "o_datatype", "o_lang"]
 EX = "http://ex.org/"
+SUBCLASS = "http://www.w3.org/2000/01/rdf-schema#subClassOf"
+#: Fixed: the predicate that states a class's number of instances.
+COUNT = "http://yago.com/noi"
 
 
 def parse_lines(lines: DataFrame, compat_iri_rule: bool = False) -> DataFrame:
@@ -100,15 +104,18 @@ MAPPING = {
 SUBJECT_OF = {"labels": "documents"}
 
 
-def from_tables(spark: SparkSession, sf_dir: str, tables: list[str] | None = None, part: str | None = None) -> DataFrame:
-    """Triples of the mapped tables, made without a shuffle. part: types or properties, for one kind of triples only.
+def from_tables(spark: SparkSession, sf_dir: str, tables: list[str] | None = None, part: str | None = None, frames: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Triples of the mapped tables, made without a shuffle. part: types, links, literals or properties (the last two together).
 
-    Type triples are branches of their own with a constant predicate, which a filter on other predicates removes from the plan.
+    Each part reads only the columns that it needs, so the parts together read each column once. frames keeps the tables once opened.
     """
     out = None
     for name in tables or MAPPING:
         cls, key, extra, columns = MAPPING[name]
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        frames = {} if frames is None else frames
+        if name not in frames:
+            frames[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        df = frames[name]
         parts = [F.col(k).cast("string") for k in key.split("-")]
         s = F.concat(F.lit(f"{EX}{SUBJECT_OF.get(name, name)}/"), F.concat_ws("-", *parts))
         none = F.lit(None).cast("string")
@@ -120,23 +127,52 @@ def from_tables(spark: SparkSession, sf_dir: str, tables: list[str] | None = Non
             )
 
         rows = []
+        if cls and part in (None, "types"):
+            rows.append(made(TYPE, F.lit(EX + cls), "iri"))
+            if extra:
+                rows.append(made(TYPE, F.concat(F.lit(f"{EX}{cls}_"), F.translate(extra, " #", "__")), "iri"))
         for c, (kind, what) in columns.items():
-            if kind == "iri":
+            if kind == "iri" and part in (None, "links", "properties"):
                 rows.append(made(EX + c, F.concat(F.lit(f"{EX}{what}/"), F.col(c).cast("string")), "iri"))
-            elif kind == "lang":
+            elif kind == "lang" and part in (None, "literals", "properties"):
                 rows.append(made(EX + c, F.col(c), "literal", T.LANG_STRING, F.col(what)))
-            else:
+            elif kind == "lit" and part in (None, "literals", "properties"):
                 rows.append(made(EX + c, F.col(c), "literal", f"<{T.XSD}{what}>"))
-        got = df.select(s.alias("s"), F.inline(F.array(*rows)))
-        if cls:
-            classes = [F.lit(EX + cls)]
-            if extra:
-                classes.append(F.concat(F.lit(f"{EX}{cls}_"), F.translate(extra, " #", "__")))
-            typed = df.select(s.alias("s"), F.explode(F.array(*classes)).alias("o"))
-            typed = typed.select("s", F.lit(TYPE).alias("p"), "o", F.lit("iri").alias("o_kind"), none.alias("o_datatype"), none.alias("o_lang"))
-            got = typed if part == "types" else got if part == "properties" else typed.unionByName(got)
-        elif part == "types":
+        if not rows:
             continue
-        got = got.where("o IS NOT NULL")
+        got = df.select(s.alias("s"), F.inline(F.array(*rows))).where("o IS NOT NULL")
         out = got if out is None else out.unionByName(got)
     return out.select(*COLUMNS)
+
+
+def taxonomy(triples: DataFrame, subclass_predicates: tuple[str, ...] = (SUBCLASS,), count_predicate: str = COUNT) -> tuple[DataFrame, DataFrame]:
+    """Edges child, parent and counts c, n that a graph states. Counts that are not whole numbers are left out."""
+    edges = triples.where(F.col("p").isin(*subclass_predicates) & (F.col("o_kind") != "literal"))
+    counts = triples.where((F.col("p") == count_predicate) & (F.col("o_kind") == "literal"))
+    counts = counts.select(F.col("s").alias("c"), F.col("o").try_cast("long").alias("n")).dropna()
+    return edges.select(F.col("s").alias("child"), F.col("o").alias("parent")).distinct(), counts.groupBy("c").agg(F.max("n").alias("n"))
+
+
+def dictionary(triples: DataFrame) -> DataFrame:
+    """Stored: id, term of all terms but literals. Ids follow the order in which tasks met the terms, with gaps."""
+    terms = triples.select("s").union(triples.select("p")).union(triples.where("o_kind <> 'literal'").select("o")).distinct()
+    return stored(terms.select(F.monotonically_increasing_id().alias("id"), F.col("s").alias("term")), "dictionary")
+
+
+def encode(triples: DataFrame, known: DataFrame) -> DataFrame:
+    """triples with ids for s, p and (where it is no literal) o; a term that the dictionary lacks has a null id."""
+    out = triples
+    for c in ("s", "p", "o"):
+        ids = known.select(F.col("id").alias(f"{c}_id"), F.col("term").alias(f"_{c}"))
+        same = F.col(c) == F.col(f"_{c}")
+        out = out.join(ids, same & (F.col("o_kind") != "literal") if c == "o" else same, "left").drop(f"_{c}")
+    return out.select("s_id", "p_id", "o_id", F.when(F.col("o_kind") == "literal", F.col("o")).alias("o"), "o_kind", "o_datatype", "o_lang")
+
+
+def decode(encoded: DataFrame, known: DataFrame) -> DataFrame:
+    out = encoded
+    for c in ("s", "p", "o"):
+        out = out.join(known.select(F.col("id").alias(f"_{c}"), F.col("term").alias(f"{c}_term")), F.col(f"{c}_id") == F.col(f"_{c}"), "left")
+    return out.select(
+        F.col("s_term").alias("s"), F.col("p_term").alias("p"), F.coalesce("o", "o_term").alias("o"), "o_kind", "o_datatype", "o_lang"
+    )

@@ -1,15 +1,19 @@
-"""Turtle: a reader for shapes files (small, on the driver) and a writer with a fixed order."""
+"""Turtle: a reader, one file to a task, and a writer of shapes with a fixed order, whose texts are made by column functions."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from ..config import TYPE
-from ..functions.terms import XSD
+from ..functions.terms import XSD, escape
 
 SH = "http://www.w3.org/ns/shacl#"
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -22,6 +26,12 @@ _TOKEN = re.compile(
 )
 
 
+def _plain(m: re.Match) -> str:
+    if m[3]:
+        return {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}.get(m[3], m[3])
+    return chr(int(m[1] or m[2], 16))
+
+
 class _Reader:
     def __init__(self, text: str):
         self.tokens, at = [], 0
@@ -60,8 +70,7 @@ class _Reader:
             return x, "literal", f"<{XSD}{plain}>", None
         if kind in ("str", "long"):
             text = x[3:-3] if kind == "long" else x[1:-1]
-            plain = {"n": "\n", "t": "\t", "r": "\r"}
-            text = re.sub(r"\\(.)", lambda m: plain.get(m[1], m[1]), text)
+            text = re.sub(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", _plain, text, flags=re.S)
             if self.peek()[0] == "lang":
                 return text, "literal", f"<{RDF}langString>", self.take()[1][1:]
             if self.peek()[0] == "dt":
@@ -125,9 +134,17 @@ def parse(text: str) -> list[tuple]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Triples of Turtle files, which are read as a whole each; meant for shapes, not for data at scale."""
-    texts = [r[0] for r in spark.read.text(path, wholetext=True).collect()]
-    return spark.createDataFrame([t for x in texts for t in parse(x)], SCHEMA)
+    """Triples of Turtle files. A file is parsed as a whole, in some task; blank nodes of different files differ."""
+
+    def run(batches):
+        for b in batches:
+            for text in b.column("value").to_pylist():
+                own = f"_:f{hashlib.md5(text.encode()).hexdigest()[:16]}"
+                rows = [tuple(own + x[2:] if x and x.startswith("_:") and i in (0, 2) and (i == 0 or t[3] == "bnode") else x for i, x in enumerate(t)) for t in parse(text)]
+                columns = list(zip(*rows, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["s", "p", "o", "o_kind", "o_datatype", "o_lang"])
+
+    return spark.read.text(path, wholetext=True).mapInArrow(run, SCHEMA)
 
 
 def shapes_of(spark: SparkSession, graph: list[tuple]) -> tuple[DataFrame, DataFrame]:
@@ -145,6 +162,13 @@ def shapes_of(spark: SparkSession, graph: list[tuple]) -> tuple[DataFrame, DataF
             yield by[head][f"{RDF}first"][0]
             head = by[head][f"{RDF}rest"][0][0]
 
+    def terms(head):
+        out = []
+        while head and head != f"{RDF}nil":
+            out.append(by[head][f"{RDF}first"][0][:3])
+            head = by[head][f"{RDF}rest"][0][0]
+        return out
+
     def bracket(x):
         return f"<{x}>" if x else None
 
@@ -165,7 +189,7 @@ def shapes_of(spark: SparkSession, graph: list[tuple]) -> tuple[DataFrame, DataF
                 ]
                 shapes.append((
                     x, node, target, one(x, "path"), whole("minCount"), whole("maxCount"), bracket(one(x, "datatype")), kind(x),
-                    one(x, "class"), [m[0] for m in items(one(x, "in"))] or None, alternatives or None, one(x, "lessThan"),
+                    one(x, "class"), terms(one(x, "in")) or None, alternatives or None, one(x, "lessThan"),
                     number("minInclusive"), number("maxInclusive"), one(x, "node"),
                 ))
             if one(node, "closed") == "true":
@@ -173,54 +197,85 @@ def shapes_of(spark: SparkSession, graph: list[tuple]) -> tuple[DataFrame, DataF
                 closed.append((node, target, allowed))
     kinds = (
         "shape string, node_shape string, target_class string, path string, min_count int, max_count int, datatype string, "
-        "node_kind string, class string, sh_in array<string>, or_list array<struct<node_kind:string,datatype:string,class:string>>, "
+        "node_kind string, class string, sh_in array<struct<value:string,kind:string,datatype:string>>, or_list array<struct<node_kind:string,datatype:string,class:string>>, "
         "less_than string, min_inclusive double, max_inclusive double, node string"
     )
     return spark.createDataFrame(shapes, kinds), spark.createDataFrame(closed, "node_shape string, target_class string, allowed array<string>")
 
 
-def _text(x: str) -> str:
-    return '"' + x.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
-
+def blocks(nodes: DataFrame, shapes: DataFrame, keys: list[str] | None = None, annotate: bool = True) -> DataFrame:
+    """name, block (and keys): the Turtle text of each shape, made by column functions; equal names of node shapes are one subject."""
+    keys = keys or []
 
-def write_shapes(nodes: DataFrame, shapes: DataFrame, annotate: bool = True) -> str:
-    """Turtle of shape tables, sorted by name. Shapes are as many as the schema has, not as the data; they stream to the driver."""
-    by_class: dict = defaultdict(list)
-    out = [f"@prefix sh: <{SH}> .", f"@prefix xsd: <{XSD}> .", ""]
+    def iri(x: Column) -> Column:
+        return F.concat(F.lit("<"), x, F.lit(">"))
 
-    def constraint(r) -> list[str]:
-        found = []
-        if r["node_kind"]:
-            found.append(f"sh:nodeKind sh:{r['node_kind']}")
-        if r["datatype"]:
-            found.append(f"sh:datatype {r['datatype']}")
-        if r["class"]:
-            found.append(f"sh:class <{r['class']}>")
-        return found
+    def says(name: str, value: Column) -> Column:
+        return F.concat(F.lit(f"{name} "), value)  # null where the value is
 
-    def notes(r) -> list[str]:
-        if not annotate or r["support"] is None:
+    def notes(support: Column, confidence: Column) -> list[Column]:
+        if not annotate:
             return []
-        found = [f"<http://shaclshapes.org/support> {r['support']}"]
-        if "confidence" in r and r["confidence"] is not None:
-            found.append(f"<http://shaclshapes.org/confidence> {r['confidence']:e}")
-        return found
-
-    blocks = {}
-    for row in shapes.toLocalIterator():
-        r = row.asDict(recursive=True)
-        by_class[r["c"]].append(r["name"])
-        says = ["a sh:PropertyShape", f"sh:path <{r['path']}>"]
-        if r["sh_in"]:
-            says.append("sh:in ( " + " ".join(f"<{x}>" for x in r["sh_in"]) + " )")
-        says += constraint(r) + [f"sh:{k}Count {r[k + '_count']}" for k in ("min", "max") if r[k + "_count"] is not None]
-        if r["or_list"]:
-            says.append("sh:or ( " + " ".join("[ " + " ; ".join(constraint(m) + notes(m)) + " ]" for m in r["or_list"]) + " )")
-        says += notes(r)
-        blocks[r["name"]] = f"<{r['name']}>\n    " + " ;\n    ".join(says) + " ."
-    for row in nodes.toLocalIterator():
-        r = row.asDict()
-        says = ["a sh:NodeShape", f"sh:targetClass <{r['target_class']}>"]
-        says += [f"sh:property <{x}>" for x in sorted(by_class.get(r["target_class"], []))] + notes(r)
-        blocks[f"{r['name']} {r['target_class']}"] = f"<{r['name']}>\n    " + " ;\n    ".join(says) + " ."
-    return "\n\n".join([*out, *[blocks[k] for k in sorted(blocks)]]) + "\n"
+        return [
+            says("<http://shaclshapes.org/support>", support.cast("string")),
+            says("<http://shaclshapes.org/confidence>", F.when(support.isNotNull() & confidence.isNotNull(), F.format_string("%e", confidence))),
+        ]
+
+    def constraint(kind: Column, datatype: Column, cls: Column) -> list[Column]:
+        return [says("sh:nodeKind", F.concat(F.lit("sh:"), kind)), says("sh:datatype", datatype), says("sh:class", iri(cls))]
+
+    def member(m: Column) -> Column:
+        parts = [*constraint(m["node_kind"], m["datatype"], m["class"]), *notes(m["support"], m["confidence"])]
+        return F.concat(F.lit("[ "), F.concat_ws(" ; ", *parts), F.lit(" ]"))
+
+    def listed(items: Column) -> Column:
+        return F.concat(F.lit("( "), F.array_join(items, " "), F.lit(" )"))
+
+    def block(name: Column, lines: list[Column]) -> Column:
+        return F.concat(iri(name), F.lit("\n    "), F.concat_ws(" ;\n    ", *lines), F.lit(" ."))
+
+    c = F.col
+    optional = [says("sh:node", iri(c("node")))] if "node" in shapes.columns else []
+    if "examples" in shapes.columns:
+        quoted = F.array_join(F.transform("examples", lambda x: F.concat(F.lit('"'), escape(x), F.lit('"'))), ", ")
+        optional.append(says("<http://shaclshapes.org/example>", F.when(F.size("examples") > 0, quoted)))
+    positive, members = c("polarity") == "positive", says("sh:or", listed(F.transform("or_list", member)))
+    kinds = constraint(c("node_kind"), c("datatype"), c("class"))
+    refused = F.concat(F.lit("[ "), F.concat_ws(" ; ", *kinds, members), F.lit(" ]"))
+    lines = [
+        F.lit("a sh:PropertyShape"), says("sh:path", iri(c("path"))), says("sh:in", listed(F.transform("sh_in", iri))),
+        *[F.when(positive, x) for x in kinds],
+        says("sh:minCount", c("min_count").cast("string")), says("sh:maxCount", c("max_count").cast("string")),
+        F.when(positive, members), says("sh:not", F.when(~positive, refused)), *optional, *notes(c("support"), c("confidence")),
+    ]
+    of_shapes = shapes.select(*keys, "name", block(c("name"), lines).alias("block"))
+    mine = shapes.groupBy(*keys, "c").agg(F.array_sort(F.collect_list("name")).alias("_names"))
+    same = [F.col(f"n.{k}") == F.col(f"m.{k}") for k in keys]
+    joined = nodes.alias("n").join(mine.alias("m"), [*same, F.col("n.target_class") == F.col("m.c")], "left")
+    total = joined.groupBy(*[f"n.{k}" for k in keys], "n.name").agg(
+        F.array_sort(F.collect_set("n.target_class")).alias("targets"),
+        F.array_sort(F.flatten(F.collect_list("_names"))).alias("names"),
+        (F.sum("n.support") if "support" in nodes.columns and annotate else F.lit(None).cast("long")).alias("support"),
+    )
+    lines = [
+        F.lit("a sh:NodeShape"), says("sh:targetClass", F.array_join(F.transform("targets", iri), ", ")),
+        says("sh:property", F.when(F.size("names") > 0, F.array_join(F.transform("names", iri), ", "))),
+        says("<http://shaclshapes.org/support>", c("support").cast("string")),
+    ]
+    return of_shapes.unionByName(total.select(*keys, "name", block(c("name"), lines).alias("block")))
+
+
+HEAD = f"@prefix sh: <{SH}> .\n@prefix xsd: <{XSD}> .\n"
+
+
+def write_file(found: DataFrame, path: str) -> None:
+    """The blocks of one set of shapes as text, sorted by name over all part files; the first line of each file is its prefixes."""
+    ordered = found.select("name", "block").repartitionByRange("name").sortWithinPartitions("name")
+    first = F.row_number().over(W.partitionBy(F.spark_partition_id()).orderBy("name")) == 1
+    text = F.when(first, F.concat(F.lit(HEAD), F.lit("\n"), F.col("block"))).otherwise(F.col("block"))
+    ordered.select(F.concat(text, F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
+
+
+def text_of(found: DataFrame) -> str:
+    """The same as one text, for a set of shapes that is known to be small."""
+    return "\n\n".join([HEAD.rstrip("\n"), *[r["block"] for r in found.orderBy("name").select("block").toLocalIterator()]]) + "\n"

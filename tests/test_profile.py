@@ -7,7 +7,9 @@ from shapeloom.config import TYPE, ProfileConfig, parse_thresholds
 from shapeloom.functions.terms import LANG_STRING, UNDEFINED, XSD_STRING
 from shapeloom.operators import profile as P
 from shapeloom.operators import prune, sampling, shapes, statistics, taxonomy
+from shapeloom.plans import patterns
 from shapeloom.plans.api import profile
+from shapeloom.sources import files
 from shapeloom.sources import triples as T
 
 E = "http://e.org/"
@@ -36,7 +38,7 @@ def graph(spark):
 
 @pytest.fixture(scope="module")
 def stats(graph):
-    return P.shape_stats(graph).persist()
+    return P.profile_table(graph)
 
 
 def rows(df, *columns):
@@ -60,11 +62,10 @@ def test_stats_of_the_small_graph(stats):
 
 
 def test_cardinalities(graph, stats):
-    classes = P.types(graph)
-    props = P.entity_prop(P.object_types(graph, classes))
-    ones = rows(P.max_count_one(P.entity_cardinality(props), classes), "p", "c")
+    ones = rows(P.max_one_of(stats), "p", "c")
     assert ones == {("knows", "Person"), ("knows", "Student"), ("name", "Person"), ("name", "Student"), (TYPE, "Person")}
-    strict = rows(P.max_count_one(P.entity_cardinality(props, True, graph), classes, True), "p", "c")
+    known = P.hashed_types(graph.where(F.col("p") == TYPE))
+    strict = rows(P.strict_max_one(graph, known), "p", "c")
     assert ("livesIn", "Person") in strict and (TYPE, "Person") not in strict
     least = rows(P.min_count_one(stats), "c", "p")
     assert {p for c, p in least if c == "Student"} >= {"knows", "livesIn", "name"}
@@ -104,25 +105,96 @@ def test_lines_round_trip_and_bad_lines(spark, graph, tmp_path):
     assert [r.o_kind for r in T.parse_lines(odd, True).collect()] == ["iri", "iri"]
 
 
-def test_capacity_rule(spark):
-    def cap(pct, largest, n=5000):
-        return sampling.capacity(spark.createDataFrame([("c", n)], "c string, n long"), largest, pct, True).first().cap
-
-    assert [cap(100, 1000), cap(100, 500), cap(100, 100), cap(75, 1000), cap(75, 100), cap(25, 1000), cap(25, 500)] == [
-        900, 400, 1, 225, 75, 625, 25,
+def test_terms_of_any_length_and_all_escapes(spark):
+    n = 1_000_000
+    lines = [
+        f'<a:s> <a:p> "{"x" * n}"@en .', f'<a:s> <a:p> "{chr(92) + "t"}{(chr(92) + chr(34)) * n}" .',
+        r'<a:\u00e9> <a:p> "\u00e9\U0001F600\uD83D\uDE00\b\f\'\"\\n\n"^^<a:t> .',
     ]
+    got = T.parse_lines(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert (len(got[0].o), got[0].o_lang) == (n, "en") and got[1].o == "\t" + '"' * n
+    assert got[2].s == "a:\u00e9" and got[2].o == "\u00e9\U0001F600\U0001F600\b\f'\"\\n\n"
+
+
+def test_capacity_by_brute_force(spark):
+    def brute(n, pct, largest):
+        fill, cap = 0, 1
+        for k in range(1, n + 1):
+            fill += fill < cap
+            if fill * pct < largest and fill * 100 / k <= pct:
+                cap = fill * pct
+        return cap
+
+    cases = [(n, pct, largest) for n in (1, 2, 7, 60, 999, 5000) for pct in (1, 2, 25, 75, 100) for largest in (1, 100, 500, 1000)]
+    for pct, largest in {(p, m) for _, p, m in cases}:
+        counts = spark.createDataFrame([(str(n), n) for n, p, m in cases if (p, m) == (pct, largest)], "c string, n long")
+        for r in sampling.capacity(counts, largest, pct, True).collect():
+            assert r.cap == brute(int(r.c), pct, largest), (r, pct, largest)
+    assert sampling.capacity(spark.createDataFrame([("c", 10**12)], "c string, n long"), 1000, 100, True).first().cap == 900
 
 
 def test_full_sample_is_the_exact_profile(graph, stats):
-    classes = P.types(graph)
-    every = sampling.reservoir(classes, 1000)
-    found = rows(sampling.sampled_stats(graph, every, TYPE), "c", "p", "ot", "support")
+    known = P.hashed_types(graph.where(F.col("p") == TYPE))
+    every = sampling.reservoir(P.types(graph), 1000)
+    others = graph.where(F.col("p") != TYPE)
+    table = sampling.sampled_stats(others.where("o_kind = 'literal'"), others.where("o_kind <> 'literal'"), every, known, TYPE)
+    found = rows(table.where("ot IS NOT NULL"), "c", "p", "ot", "support")
     exact = rows(stats.where((F.col("p") != TYPE) & (F.col("ot") != UNDEFINED)), "c", "p", "ot", "support")
     assert found == exact
 
 
+def test_dictionary_and_taxonomy_reader(spark, graph):
+    known = T.dictionary(graph)
+    back = T.decode(T.encode(graph, known), known)
+    assert sorted(map(str, back.collect())) == sorted(map(str, graph.collect()))
+    lines = ["<a:b> <http://www.w3.org/2000/01/rdf-schema#subClassOf> <a:c> .", '<a:b> <http://yago.com/noi> "7"^^<x:integer> .', '<a:c> <http://yago.com/noi> "many" .']
+    edges, counts = T.taxonomy(T.parse_lines(spark.createDataFrame([(x,) for x in lines], "value string")).select(*T.COLUMNS))
+    assert rows(edges, "child", "parent") == {("a:b", "a:c")} and rows(counts, "c", "n") == {("a:b", 7)}
+
+
+def test_a_properties_file_runs_to_all_outputs(spark, tmp_path):
+    import glob
+
+    from shapeloom.plans import run
+
+    (tmp_path / "g.nt").write_text("\n".join(LINES))
+    (tmp_path / "shapes").mkdir()
+    (tmp_path / "shapes" / "one.ttl").write_text(
+        f"@prefix sh: <http://www.w3.org/ns/shacl#> . <{E}S> a sh:NodeShape ; sh:targetClass <{E}Person> ; sh:property [ sh:path <{E}livesIn> ; sh:minCount 1 ] ."
+    )
+    (tmp_path / "pruning").mkdir()
+    (tmp_path / "pruning" / "classes.txt").write_text(f"{E}Person\n{E}City\n")
+    text = (
+        f"x_exact_file=true\nx_approximate_file=true\nx_exact_query_based=true\nx_specific_classes=true\nconfig_dir_path={tmp_path}/\n"
+        f"dataset_path={tmp_path}/g.nt\ndataset_name=small\noutput_file_path={tmp_path}/out\nvalidation_input_dir={tmp_path}/shapes\n"
+        "pruning_thresholds={(0.1,1),(0.9,1)}\nx_validation_with_shNot=true\nadd_examples=true\nmax_cardinality=true\nentity_sampling_threshold=10"
+    )
+    found = run.run(spark, text, keep_tables=True)
+    assert [x.class_count.count() for x in found] == [2, 2, 2]
+    by_mode = {m: {r.Class.replace(E, ""): int(r.Frequency) for r in spark.read.csv(f"{tmp_path}/out/{m}/classFrequency.csv", header=True).collect()} for m in ("exact", "query_exact")}
+    assert by_mode == {"exact": {"Person": 3, "City": 1}, "query_exact": {"Person": 2, "City": 1}}
+    assert spark.read.csv(f"{tmp_path}/out/exact/small.csv", header=True).count() == 2
+    assert spark.read.csv(f"{tmp_path}/out/exact/validation/one", header=True, sep="|").first().FocusNode == f"{E}alice"
+    assert spark.read.csv(f"{tmp_path}/out/runtime.csv", header=True).count() == 3 and spark.read.csv(f"{tmp_path}/out/sampling.csv", header=True).count() == 1
+    assert spark.read.parquet(f"{tmp_path}/out/exact/store/property_shapes").where("conf_thr = 0.9").count()
+    assert any("sh:targetClass" in open(f).read() for f in glob.glob(f"{tmp_path}/out/exact/small_FULL.ttl/part*"))
+    support = files.read_separated(spark, f"{tmp_path}/out/exact/support.csv")
+    assert support.count() == found[0].shape_stats.count()
+    row = run.compare(found[0], found[1], f"{tmp_path}/out/pr.csv", ProfileConfig()).first()
+    assert row.NS_truth == 2 and 0 <= row.recall_PS <= 1
+    with pytest.raises(ValueError):
+        ProfileConfig(mode="other")
+
+
+def test_patterns_refuse_what_they_cannot_do(graph):
+    assert patterns.ask(graph, f"ASK {{ ?x a <{E}City> . ?y <{E}livesIn> ?x }}") and not patterns.ask(graph, f"ASK {{ ?x a <{E}Town> }}")
+    for text in ("SELECT ?a WHERE { ?a ?b ?c . ?d ?e ?f }", "DELETE { ?a ?b ?c }", "SELECT ?a WHERE { ?a x:y ?c }"):
+        with pytest.raises(ValueError):
+            patterns.select(graph, text)
+
+
 def test_profile_runs_in_all_modes(graph):
-    for mode in ("exact", "sampled"):
+    for mode in ("exact", "sampled", "query_exact", "query_sampled"):
         out = profile(graph, ProfileConfig(mode=mode, thresholds=((0.1, 1), (0.9, 1)), sh_not=True, add_examples=True))
         assert out.property_shapes.count() and out.statistics.count() == 2 and out.examples["classes"].count()
 
