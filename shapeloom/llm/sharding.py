@@ -1,88 +1,170 @@
 """Sharding by Karmarkar-Karp differencing, for groups of equal texts that must stay together.
 
-Groups of at least a share of 1/UNITS of all bytes are items of their own, so there are at most
-UNITS of them. All smaller groups are dealt by hash into UNITS bundles. These at most 2 * UNITS items, whatever the
-size of the corpus, are partitioned on the driver: again and again the two partial partitions of largest spread are
-combined in opposite order. Rows then look up their item, and get gapless slots by counts of (shard, part), so that
-no task holds a whole shard.
-
-A null text has no bytes and groups with the empty one. Repeated rows are rows of one group. An empty table gives no
-rows. With fewer groups than shards some shards stay empty. Columns besides doc_id and text are ignored.
+Differencing combines, again and again, the two partial partitions of largest spread in opposite order. It runs in tiers: each
+task differences the groups dealt to it, about TASK_GROUPS, down to one partial partition of as many subsets as there are shards;
+those are differenced the same way, FAN of them to a task, until at most FAN are left, which the driver
+combines. So every group is differenced for itself at any size of the corpus, and no task or driver holds more than a bounded number.
+A group that is larger than a shard's share makes its shard the largest, as in any partition that keeps groups together.
+
+Rows then look up their group's subset, and that its shard, and get gapless slots by counts of (shard, part), so that no task holds
+a whole shard; rows of a hot group are dealt over all parts.
+
+A null text has no bytes and groups with the empty one. Repeated rows, and rows with a null doc_id, are rows of their own of their
+text's group. An empty table gives no rows. With fewer groups than shards some shards stay empty. Columns besides doc_id
+and text are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._util import table
+from ._util import HOT_SHARE, lean, ship, small, stored, table
+
+ship(__name__)
 
 SHARDS = 16
-UNITS = 4096
+#: Groups that a task differences, about, and partial partitions that a task or the driver combines.
+TASK_GROUPS, FAN = 20_000, 1024
 #: Rows of a part of a shard, about, and the least number of parts.
 PART_ROWS, LEAST_PARTS = 20_000, 64
 
 
-def karmarkar_karp(sizes: dict, k: int) -> dict:
-    """The shard (0 to k - 1) of each item: k-way largest differencing. sizes: item to size."""
-    order = sorted(sizes, key=lambda x: (-sizes[x], str(x)))
-    # a partial partition: sums in falling order, each with its items as a binary tree
-    heap = [(-sizes[x], i, [(sizes[x], x)] + [(0, None)] * (k - 1)) for i, x in enumerate(order)]
+def combine(partials: list[list[int]]) -> list[list[int]]:
+    """For each partial partition (its subsets' sums) the subset of the whole that each of its subsets goes to.
+
+    Largest differencing: the two of largest spread are merged, the largest subset of one with the smallest of the other.
+    """
+    if not partials:
+        return []
+    k = len(partials[0])
+    heap, nodes = [], []  # a node: the two it is made of and, for each of its subsets, the place of the first one's
+    for i, sums in enumerate(partials):
+        order = sorted(range(k), key=lambda j, sums=sums: (-sums[j], j))
+        ranked = [sums[j] for j in order]
+        nodes.append(order)
+        heap.append((ranked[-1] - ranked[0], i, ranked))
     heapq.heapify(heap)
-    tick = len(heap)
     while len(heap) > 1:
-        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
-        both = [
-            (x[0] + y[0], (x[1], y[1]) if x[1] is not None and y[1] is not None else x[1] if y[1] is None else y[1])
-            for x, y in zip(a, reversed(b), strict=True)
-        ]
-        both.sort(key=lambda x: -x[0])
-        heapq.heappush(heap, (both[-1][0] - both[0][0], tick, both))
-        tick += 1
-    out = {}
-    for shard, (_, tree) in enumerate(heap[0][2] if heap else []):
-        todo = [tree] if tree is not None else []
-        while todo:
-            x = todo.pop()
-            if isinstance(x, tuple):  # items are strings
-                todo += x
-            else:
-                out[x] = shard
+        _, i, a = heapq.heappop(heap)
+        _, j, b = heapq.heappop(heap)
+        sums = [x + y for x, y in zip(a, reversed(b), strict=True)]
+        order = sorted(range(k), key=sums.__getitem__, reverse=True)
+        ranked = [sums[x] for x in order]
+        heapq.heappush(heap, (ranked[-1] - ranked[0], len(nodes), ranked))
+        nodes.append((i, j, order))
+    out: list[list[int]] = [[]] * len(partials)
+    todo = [(heap[0][1], list(range(k)))]
+    while todo:  # to[s]: where the node's subset s goes
+        i, to = todo.pop()
+        if i < len(partials):
+            out[i] = [0] * k
+            for s, j in enumerate(nodes[i]):
+                out[i][j] = to[s]
+            continue
+        a, b, order = nodes[i]
+        first, second = [0] * k, [0] * k
+        for s, x in enumerate(order):
+            first[x] = second[k - 1 - x] = to[s]
+        todo += [(a, first), (b, second)]
     return out
 
 
-def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def karmarkar_karp(sizes: dict, k: int) -> dict:
+    """The shard (0 to k - 1) of each item: k-way largest differencing. sizes: item to size."""
+    order = sorted(sizes, key=lambda x: (-sizes[x], str(x)))
+    found = combine([[sizes[x], *[0] * (k - 1)] for x in order])
+    return {x: to[0] for x, to in zip(order, found, strict=True)}
+
+
+def _difference_groups(k: int):
+    """g, size, piece -> piece, subset, g, size of one task's groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = [b for b in batches if b.num_rows]
+        if not mine:
+            return
+        rows = pa.Table.from_batches(mine)
+        of = karmarkar_karp(dict(zip(rows["g"].to_pylist(), rows["size"].to_pylist(), strict=True)), k)
+        subset = pa.array([of[g] for g in rows["g"].to_pylist()], pa.int32())
+        found = pa.table({"piece": rows["piece"], "subset": subset, "g": rows["g"], "size": rows["size"]})
+        yield from found.to_batches(max_chunksize=10_000)
+
+    return run
+
+
+def _combine_pieces(rows: list[tuple], k: int) -> list[tuple[int, int, int]]:
+    """piece, subset, to of rows (piece, subset, size)."""
+    sums: dict[int, list[int]] = {}
+    for piece, subset, size in rows:
+        sums.setdefault(piece, [0] * k)[subset] += size
+    names = sorted(sums)
+    return [(p, s, t) for p, to in zip(names, combine([sums[p] for p in names]), strict=True) for s, t in enumerate(to)]
+
+
+def _tier(k: int):
+    """up, piece, subset, size -> up, piece, subset, to; rows of one up come together."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = _combine_pieces(list(zip(*(table[c].to_pylist() for c in ("piece", "subset", "size")), strict=True)), k)
+        names, up = ("piece", "subset", "to"), table["up"][0].as_py()
+        columns = [pa.array([r[i] for r in rows], pa.int32()) for i in range(3)]
+        return pa.table([pa.array([up] * len(rows), pa.int32()), *columns], names=["up", *names])
+
+    return run
+
+
+def shard_groups(groups: DataFrame, shards: int, task_groups: int = TASK_GROUPS, fan: int = FAN) -> DataFrame:
+    """g, shard of stored groups (g, size)."""
+    spark, pieces = groups.sparkSession, max(1, -(-groups.count() // task_groups))
+    dealt = groups.repartition(pieces, "g").withColumn("piece", F.spark_partition_id())
+    kinds = "piece int, subset int, g long, size long"
+    found = stored(dealt.select("piece", "g", "size").mapInArrow(lean(_difference_groups(shards)), kinds), "shard-pieces")
+    sums = stored(found.groupBy("piece", "subset").agg(F.sum("size").alias("size")), "shard-sums")
+    to = found.select("g", "piece", "subset")
+    while sums.select("piece").distinct().count() > fan:
+        up = F.floor(F.col("piece") / fan).cast("int").alias("up")
+        way = sums.select(up, "piece", "subset", "size").groupBy("up").applyInArrow(_tier(shards), "up int, piece int, subset int, to int")
+        way = stored(way, "shard-tier")
+        to = to.join(small(way), ["piece", "subset"]).select("g", F.col("up").alias("piece"), F.col("to").alias("subset"))
+        sums = sums.join(way, ["piece", "subset"]).groupBy(F.col("up").alias("piece"), F.col("to").alias("subset"))
+        sums = stored(sums.agg(F.sum("size").alias("size")), "shard-sums")
+    last = _combine_pieces([tuple(r) for r in sums.select("piece", "subset", "size").collect()], shards)  # at most fan * shards
+    last = spark.createDataFrame(last, "piece int, subset int, shard int")
+    return to.join(F.broadcast(last), ["piece", "subset"]).select("g", "shard")
+
+
+def assign_shards(docs: DataFrame, shards: int = SHARDS, task_groups: int = TASK_GROUPS, fan: int = FAN) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot. Equal texts share a shard; sizes of shards are near equal."""
-    spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(
-        "doc_id",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.xxhash64(text).alias("g"),
+    rows = stored(
+        docs.select(
+            "doc_id",
+            (F.octet_length(text) + 1).cast("long").alias("size"),
+            F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+            F.xxhash64(text).alias("g"),
+            F.monotonically_increasing_id().alias("row"),
+        ),
+        "shard-rows",
     )
-    groups = rows.groupBy("g").agg(F.sum("size").alias("size"))
-    total, n = rows.agg(F.sum("size"), F.count("*")).first()
-    heavy = F.col("size") >= (total or 0) / UNITS
-    unit = F.when(heavy, F.format_string("g%d", "g")).otherwise(F.format_string("b%d", F.pmod("g", F.lit(UNITS))))
-    sizes = groups.groupBy(unit.alias("unit")).agg(F.sum("size").alias("size")).collect()  # at most 2 * UNITS
-    of = karmarkar_karp({r["unit"]: r["size"] for r in sizes}, shards)
-    placed = F.broadcast(spark.createDataFrame(list(of.items()) or [("", 0)], "unit string, shard int"))  # as many
-    alone = {int(x[1:]): s for x, s in of.items() if x[0] == "g"}
-    lone = F.broadcast(spark.createDataFrame(list(alone.items()) or [(0, None)], "g long, own int"))
+    groups = stored(rows.groupBy("g").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "shard-groups")
+    n = groups.agg(F.sum("n")).first()[0] or 0
+    of = stored(shard_groups(groups.select("g", "size"), shards, task_groups, fan), "shard-of")
+    hot = F.broadcast(stored(groups.where(F.col("n") > max(1000, HOT_SHARE * n)).select("g"), "shard-hot"))  # fewer than 1 / HOT_SHARE
+    hot_rows = rows.join(hot, "g", "left_semi").join(F.broadcast(of.join(hot, "g", "left_semi")), "g")
+    cool_rows = rows.join(hot, "g", "left_anti").join(of, "g")
     parts = max(LEAST_PARTS, -(-n // (shards * PART_ROWS)))
-    dealt = (
-        rows.join(lone, "g", "left")
-        .withColumn("unit", F.format_string("b%d", F.pmod("g", F.lit(UNITS))))
-        .join(placed, "unit", "left")
-        .withColumn("shard", F.coalesce("own", "shard"))
-        .withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(parts)))
+    by = F.lit(parts)
+    dealt = cool_rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "g"), by)).unionByName(
+        hot_rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "g", "row"), by))
     )
-    within = W.partitionBy("shard", "part").orderBy("doc_id", "g")
-    ranked = dealt.withColumn("rank", F.row_number().over(within))
+    dealt = stored(dealt, "shard-dealt")
+    ranked = dealt.withColumn("rank", F.row_number().over(W.partitionBy("shard", "part").orderBy("doc_id", "g", "row")))
     counts = dealt.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(
         F.sum("n").over(W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
