@@ -1,16 +1,20 @@
 """Chat formatting over a prefix tree of conversations.
 
 Conversations that share their first turns share the nodes of those turns: a node is a turn after a given beginning, named by
-a hash of that beginning. Each node's text is emitted once, the tree depth-first: nodes are sorted by their path of
-names, by ranges over all machines, so no task holds a whole tree however many conversations share its root. A node has
-its place in the emitted text (start, length), the position id of its first character (the length of what
-stands before it in a conversation), and attn: the intervals [start, stop) of its ancestors and of itself, which
-are what its characters may attend to (within itself up to the character). Loss is on assistant texts. Units are code points;
+a hash of that beginning. Each node's text is emitted once, the tree depth-first. For that the distinct conversations are sorted by
+their paths of names, by ranges over all machines; a node belongs to the first conversation through it, and stands behind those of
+the conversations before and the nodes above it. So no task holds a whole tree however many conversations share its root, and work grows
+with the turns, not with the square of a conversation's length.
+
+A node has its place in the emitted text (start, length), the position id of its first character (the length of what
+stands before it in a conversation), and attn: the intervals [start, stop) of its ancestors and of itself, adjoining ones
+merged, which are what its characters may attend to (within itself up to the character). As a first child adjoins its parent, a node
+has one interval more than its path has turns that are not first children, at most. Loss is on assistant texts. Units are code points;
 a tokenizer may be run over each node's text.
 
 The template: `<s>[INST] text [/INST]` for a user, ` text </s>` for an assistant, `<<role>>text<</>>` for other roles.
 Backslash, <, >, [ and ] within texts and roles get a backslash, so no control string survives in a text, and
-unescaping gives it back.
+unescaping gives it back, whatever the length.
 
 Null texts and roles are empty. Turns of a conversation are ordered by turn (null first), then role and text; repeated rows are
 turns of their own. Rows without conv_id are one conversation. Other columns are ignored; an empty table gives no rows.
@@ -22,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._util import stored, table
+from ._util import spread_join, stored, table
 
 USER, ASSISTANT, OTHER = ("<s>[INST] ", " [/INST]"), (" ", " </s>"), ("<<", ">>", "<</>>")
 
@@ -46,7 +50,7 @@ def format_turn(role: Column, text: Column) -> Column:
 
 def parse_turn(shown: Column) -> Column:
     """struct(role, text) of a formatted turn."""
-    head = F.regexp_extract(shown, "^<<((?:[^\\\\>]|\\\\.)*)>>", 1)
+    head = F.regexp_extract(shown, "(?s)^<<((?:[^\\\\>]++|\\\\.)*+)>>", 1)
 
     def inner(before: int, after: int) -> Column:
         return F.substring(shown, F.lit(before + 1), F.length(shown) - before - after)
@@ -93,69 +97,84 @@ def paths(rows: DataFrame) -> DataFrame:
 
 
 def emit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The emitted nodes: name, depth, start, length, position, attn, shown, loss_from, loss_to (within shown);
-    and the conversations: conv_id, leaf (the name of its last turn's node)."""
-    found = stored(paths(rows), "chat-paths")
-    turns = found.select("names", F.posexplode("turns").alias("depth", "t"))
-    leaf = F.element_at("names", -1)
-    nodes = turns.select(
-        F.get("names", F.col("depth")).alias("name"),
-        "depth",
-        leaf.alias("leaf"),
-        F.array_join(F.slice("names", F.lit(1), F.col("depth") + 1), "").alias("path"),
-        F.col("t.role").alias("role"),
-        F.col("t.text").alias("text"),
-    )
-    same = [F.first(c).alias(c) for c in ("depth", "path", "role", "text")]  # all equal
-    nodes = nodes.groupBy("name").agg(*same, F.min("leaf").alias("leaf"))  # some conversation through the node
-    shown = format_turn(F.col("role"), F.col("text"))
-    nodes = nodes.select("name", "depth", "path", "role", "leaf", shown.alias("shown"))
-    nodes = nodes.withColumn("length", F.length("shown").cast("long"))
+    """The emitted nodes: name, parent, depth, start, length, position, attn, shown, loss_from, loss_to (within shown);
+    and the conversations: conv_id, leaf (the name of its last turn's node), starts (of its turns' nodes, in order)."""
+    found = stored(paths(rows).withColumn("leaf", F.element_at("names", -1)), "chat-paths")
+    # distinct conversations in the order of their paths; the rank grows by part, and within a part
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = nodes.repartitionByRange(n, "path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id())
-    dealt = stored(dealt, "chat-nodes")
-    upto = (W.unboundedPreceding, -1)
-    parts = dealt.groupBy("part").agg(F.sum("length").alias("n"))  # one row for each part
+    tips = found.groupBy("leaf").agg(F.first("names").alias("names"), F.first("turns").alias("turns"))
+    tips = tips.withColumn("path", F.array_join("names", "")).repartitionByRange(n, "path").sortWithinPartitions("path")
+    tips = stored(tips.withColumn("rank", F.monotonically_increasing_id()).drop("path"), "chat-tips")
+    turn = F.transform(
+        "names",
+        lambda x, i: F.struct(
+            i.alias("depth"), x.alias("name"), F.when(i > 0, F.get("names", i - 1)).alias("parent"), F.get("turns", i).alias("t")
+        ),
+    )
+    steps = stored(tips.select("rank", "leaf", F.explode(turn).alias("x")).select("rank", "leaf", "x.*"), "chat-steps")
+    same = [F.first(c).alias(c) for c in ("depth", "parent", "t")]  # all equal
+    nodes = steps.groupBy("name").agg(F.min("rank").alias("rank"), *same)
+    shown = format_turn(F.col("t.role"), F.col("t.text"))
+    nodes = nodes.select("name", "parent", "depth", "rank", F.col("t.role").alias("role"), shown.alias("shown"))
+    nodes = stored(nodes.withColumn("length", F.length("shown").cast("long")), "chat-nodes")
+    # places: what stands before the part, and within it
+    part, upto = F.shiftright("rank", 33), (W.unboundedPreceding, -1)
+    sized = nodes.select("name", "rank", "depth", "length", part.alias("part"))
+    parts = sized.groupBy("part").agg(F.sum("length").alias("n"))  # one row for each part
     parts = parts.select(
         F.col("part").alias("_part"), F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(*upto)), F.lit(0)).alias("before")
     )
-    ahead = F.coalesce(F.sum("length").over(W.partitionBy("part").orderBy("path").rowsBetween(*upto)), F.lit(0))
-    placed = dealt.withColumn("ahead", ahead).join(F.broadcast(parts), F.col("part") == F.col("_part"))
-    placed = stored(placed.withColumn("start", F.col("before") + F.col("ahead")).drop("ahead", "before", "_part"), "chat-placed")
-    # the places of a conversation's turns in order; a node's own and its ancestors' are the first of them
-    steps = found.select("names").distinct().select(leaf.alias("_leaf"), F.posexplode("names").alias("d", "_name"))
-    spans = placed.select("name", "start", (F.col("start") + F.col("length")).alias("stop"))
-    ways = steps.join(spans, F.col("_name") == F.col("name")).groupBy("_leaf").agg(
-        F.array_sort(F.collect_list(F.struct("d", "start", "stop"))).alias("way")
+    ahead = F.coalesce(F.sum("length").over(W.partitionBy("part").orderBy("rank", "depth").rowsBetween(*upto)), F.lit(0))
+    placed = sized.withColumn("ahead", ahead).join(F.broadcast(parts), F.col("part") == F.col("_part"))
+    start = F.col("before") + F.col("ahead")
+    placed = stored(
+        placed.select("name", F.col("rank").alias("owner"), start.alias("start"), (start + F.col("length")).alias("stop")), "chat-placed"
+    )
+    # each distinct conversation's way: the places of its turns in order
+    ways = spread_join(steps.select("rank", "leaf", "depth", "name"), placed, ["name"]).groupBy("rank", "leaf").agg(
+        F.array_sort(F.collect_list(F.struct("depth", "start", "stop", "owner"))).alias("way")
     )
-    way = F.transform("way", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
-    before = F.aggregate(
-        F.slice("attn", F.lit(1), F.col("depth")), F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"]
+    shared = F.filter("way", lambda x: x["owner"] != F.col("rank"))  # owned by conversations before: the first ones
+    span = "array<struct<start:bigint,stop:bigint>>"
+
+    def merged(acc: Column, x: Column) -> Column:
+        last = F.element_at(F.when(F.size(acc) > 0, acc), -1)
+        alone = F.array(F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
+        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), x["stop"].alias("stop"))))
+        return F.when(F.coalesce(last["stop"] == x["start"], F.lit(False)), longer).otherwise(F.concat(acc, alone)).cast(span)
+
+    head = F.aggregate(shared, F.array().cast(span), merged)
+    own = F.get("way", F.size(shared))["start"]
+    ways = stored(
+        ways.select("rank", "leaf", F.transform("way", lambda x: x["start"]).alias("starts"), head.alias("head"), own.alias("own")), "chat-ways"
     )
+    heads = ways.select(F.col("rank").alias("_rank"), "head", "own")
+    out = nodes.join(placed.select(F.col("name").alias("_name"), "start", "stop"), F.col("name") == F.col("_name"))
+    out = out.join(heads, F.col("rank") == F.col("_rank"))
+    attn = merged(F.col("head"), F.struct(F.col("own").alias("start"), F.col("stop").alias("stop")))
+    before = F.aggregate("attn", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"]) - F.col("length")
     loss = F.col("role") == "assistant"
-    out = placed.join(ways, F.col("leaf") == F.col("_leaf")).withColumn("attn", F.slice(way, F.lit(1), F.col("depth") + 1))
-    out = out.select(
-        "name", "depth", "start", "length", before.alias("position"), "attn", "shown",
+    out = out.withColumn("attn", attn).select(
+        "name", "parent", "depth", "start", "length", before.alias("position"), "attn", "shown",
         F.when(loss, F.lit(len(ASSISTANT[0])).cast("long")).otherwise(0).alias("loss_from"),
         F.when(loss, F.col("length") - len(ASSISTANT[1])).otherwise(0).alias("loss_to"),
     )
-    leaves = found.select("conv_id", leaf.alias("leaf"))
-    return stored(out, "chat-emitted"), leaves
+    conversations = spread_join(found.select("conv_id", "leaf"), ways.select("leaf", "starts"), ["leaf"])
+    return stored(out, "chat-emitted"), stored(conversations.select("conv_id", "leaf", "starts"), "chat-conversations")
 
 
-def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
-    """conv_id, turns: array of (role, text, shown, loss), from the emitted text alone: a leaf's intervals give its turns."""
-    last = nodes.join(leaves.select(F.col("leaf").alias("name")).distinct(), "name", "left_semi")
-    at = last.select(F.col("name").alias("leaf"), F.posexplode("attn").alias("i", "span"))
-    there = nodes.select(F.col("start").alias("_start"), "shown", "loss_from", "loss_to")
-    said = at.join(there, F.col("span.start") == F.col("_start"))
+def read_back(nodes: DataFrame, conversations: DataFrame) -> DataFrame:
+    """conv_id, turns: array of (role, text, shown, loss), from the emitted nodes. Each distinct conversation is read once."""
+    once = conversations.groupBy("leaf").agg(F.first("starts").alias("starts"))
+    at = stored(once.select("leaf", F.posexplode("starts").alias("i", "start")), "chat-reads")
+    said = spread_join(at, nodes.select("start", "shown", "loss_from", "loss_to"), ["start"])
     loss = F.substring("shown", F.col("loss_from").cast("int") + 1, (F.col("loss_to") - F.col("loss_from")).cast("int"))
     turn = F.struct(
         "i", parse_turn(F.col("shown")).alias("t"), "shown",
         F.when(F.col("loss_to") > F.col("loss_from"), unescape(loss)).otherwise("").alias("loss"),
     )
-    whole = said.groupBy("leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    return leaves.join(whole, "leaf").select("conv_id", "turns")
+    whole = stored(said.groupBy("leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns")), "chat-read")
+    return spread_join(conversations.select("conv_id", "leaf"), whole, ["leaf"]).select("conv_id", "turns")
 
 
 def op9_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
