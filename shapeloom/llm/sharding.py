@@ -1,12 +1,13 @@
 """Sharding by Karmarkar-Karp differencing, for groups of equal texts that must stay together.
 
-Differencing combines, again and again, the two partial partitions of largest spread in opposite order. It runs in tiers: each
-task differences the groups dealt to it, about TASK_GROUPS, down to one partial partition of as many subsets as there are shards;
-those are differenced the same way, FAN of them to a task, until at most FAN are left, which the driver
-combines. So every group is differenced for itself at any size of the corpus, and no task or driver holds more than a bounded number.
+Differencing combines, again and again, the two partial partitions of largest spread in opposite order. It runs in tiers, from
+heavy groups to light ones: up to TASK_GROUPS groups are differenced on the driver. Of more, those that are large beside a
+task's share are a smaller set, which goes first, in the same way; the others are dealt by hash to tasks of about TASK_GROUPS each, and every
+task differences its groups together with its part of the load that the heavier ones leave on the shards, so the light ones level
+it. So every group is differenced for itself at any size of the corpus, and no task or driver holds more than a bounded number.
 A group that is larger than a shard's share makes its shard the largest, as in any partition that keeps groups together.
 
-Rows then look up their group's subset, and that its shard, and get gapless slots by counts of (shard, part), so that no task holds
+Rows then look up their group's shard, and get gapless slots by counts of (shard, part), so that no task holds
 a whole shard; rows of a hot group are dealt over all parts.
 
 A null text has no bytes and groups with the empty one. Repeated rows, and rows with a null doc_id, are rows of their own of their
@@ -24,13 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._util import HOT_SHARE, lean, ship, small, stored, table
+from ._util import HOT_SHARE, lean, ship, stored, table
 
 ship(__name__)
 
 SHARDS = 16
-#: Groups that a task differences, about, and partial partitions that a task or the driver combines.
-TASK_GROUPS, FAN = 20_000, 1024
+#: Groups that a task (about) or the driver (at most) differences.
+TASK_GROUPS = 20_000
 #: Rows of a part of a shard, about, and the least number of parts.
 PART_ROWS, LEAST_PARTS = 20_000, 64
 
@@ -82,64 +83,43 @@ def karmarkar_karp(sizes: dict, k: int) -> dict:
     return {x: to[0] for x, to in zip(order, found, strict=True)}
 
 
-def _difference_groups(k: int):
-    """g, size, piece -> piece, subset, g, size of one task's groups."""
+def _difference_groups(load: list[int]):
+    """g, size -> g, shard of one task's groups. load: what its shards have already."""
+    k = len(load)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = [b for b in batches if b.num_rows]
         if not mine:
             return
         rows = pa.Table.from_batches(mine)
-        of = karmarkar_karp(dict(zip(rows["g"].to_pylist(), rows["size"].to_pylist(), strict=True)), k)
-        subset = pa.array([of[g] for g in rows["g"].to_pylist()], pa.int32())
-        found = pa.table({"piece": rows["piece"], "subset": subset, "g": rows["g"], "size": rows["size"]})
-        yield from found.to_batches(max_chunksize=10_000)
+        items = sorted(zip(rows["size"].to_pylist(), rows["g"].to_pylist(), strict=True), reverse=True)
+        to_load, *found = combine([load, *([size, *[0] * (k - 1)] for size, _ in items)])
+        shard = {to: s for s, to in enumerate(to_load)}  # the shard whose load has gone to a subset
+        of = pa.table({"g": pa.array([g for _, g in items], pa.int64()), "shard": pa.array([shard[to[0]] for to in found], pa.int32())})
+        yield from of.to_batches(max_chunksize=10_000)
 
     return run
 
 
-def _combine_pieces(rows: list[tuple], k: int) -> list[tuple[int, int, int]]:
-    """piece, subset, to of rows (piece, subset, size)."""
-    sums: dict[int, list[int]] = {}
-    for piece, subset, size in rows:
-        sums.setdefault(piece, [0] * k)[subset] += size
-    names = sorted(sums)
-    return [(p, s, t) for p, to in zip(names, combine([sums[p] for p in names]), strict=True) for s, t in enumerate(to)]
-
-
-def _tier(k: int):
-    """up, piece, subset, size -> up, piece, subset, to; rows of one up come together."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = _combine_pieces(list(zip(*(table[c].to_pylist() for c in ("piece", "subset", "size")), strict=True)), k)
-        names, up = ("piece", "subset", "to"), table["up"][0].as_py()
-        columns = [pa.array([r[i] for r in rows], pa.int32()) for i in range(3)]
-        return pa.table([pa.array([up] * len(rows), pa.int32()), *columns], names=["up", *names])
-
-    return run
-
-
-def shard_groups(groups: DataFrame, shards: int, task_groups: int = TASK_GROUPS, fan: int = FAN) -> DataFrame:
-    """g, shard of stored groups (g, size)."""
-    spark, pieces = groups.sparkSession, max(1, -(-groups.count() // task_groups))
-    dealt = groups.repartition(pieces, "g").withColumn("piece", F.spark_partition_id())
-    kinds = "piece int, subset int, g long, size long"
-    found = stored(dealt.select("piece", "g", "size").mapInArrow(lean(_difference_groups(shards)), kinds), "shard-pieces")
-    sums = stored(found.groupBy("piece", "subset").agg(F.sum("size").alias("size")), "shard-sums")
-    to = found.select("g", "piece", "subset")
-    while sums.select("piece").distinct().count() > fan:
-        up = F.floor(F.col("piece") / fan).cast("int").alias("up")
-        way = sums.select(up, "piece", "subset", "size").groupBy("up").applyInArrow(_tier(shards), "up int, piece int, subset int, to int")
-        way = stored(way, "shard-tier")
-        to = to.join(small(way), ["piece", "subset"]).select("g", F.col("up").alias("piece"), F.col("to").alias("subset"))
-        sums = sums.join(way, ["piece", "subset"]).groupBy(F.col("up").alias("piece"), F.col("to").alias("subset"))
-        sums = stored(sums.agg(F.sum("size").alias("size")), "shard-sums")
-    last = _combine_pieces([tuple(r) for r in sums.select("piece", "subset", "size").collect()], shards)  # at most fan * shards
-    last = spark.createDataFrame(last, "piece int, subset int, shard int")
-    return to.join(F.broadcast(last), ["piece", "subset"]).select("g", "shard")
-
-
-def assign_shards(docs: DataFrame, shards: int = SHARDS, task_groups: int = TASK_GROUPS, fan: int = FAN) -> DataFrame:
+def shard_groups(groups: DataFrame, shards: int, task_groups: int = TASK_GROUPS) -> DataFrame:
+    """g, shard of stored groups (g, size, each g once)."""
+    spark = groups.sparkSession
+    n, total = groups.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    if n <= task_groups:
+        of = karmarkar_karp({r["g"]: r["size"] for r in groups.select("g", "size").collect()}, shards)  # at most task_groups
+        return spark.createDataFrame(list(of.items()), "g long, shard int")
+    pieces = -(-n // task_groups)
+    limit = total / (pieces * shards * max(1, min(8, n // (2 * pieces * shards))))  # fewer than n / 2 are larger
+    heavy = stored(groups.where(F.col("size") > limit).select("g", "size"), "shard-heavy")
+    of_heavy = stored(shard_groups(heavy, shards, task_groups), "shard-of-heavy")
+    load = [0] * shards
+    for r in of_heavy.join(heavy, "g").groupBy("shard").agg(F.sum("size").alias("size")).collect():  # a row for each shard
+        load[r["shard"]] = r["size"] // pieces
+    light = groups.where(F.col("size") <= limit).select("g", "size").repartition(pieces, "g")
+    return light.mapInArrow(lean(_difference_groups(load)), "g long, shard int").unionByName(of_heavy)
+
+
+def assign_shards(docs: DataFrame, shards: int = SHARDS, task_groups: int = TASK_GROUPS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot. Equal texts share a shard; sizes of shards are near equal."""
     text = F.coalesce("text", F.lit(""))
     rows = stored(
@@ -154,7 +134,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, task_groups: int = TASK
     )
     groups = stored(rows.groupBy("g").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "shard-groups")
     n = groups.agg(F.sum("n")).first()[0] or 0
-    of = stored(shard_groups(groups.select("g", "size"), shards, task_groups, fan), "shard-of")
+    of = stored(shard_groups(groups.select("g", "size"), shards, task_groups), "shard-of")
     hot = F.broadcast(stored(groups.where(F.col("n") > max(1000, HOT_SHARE * n)).select("g"), "shard-hot"))  # fewer than 1 / HOT_SHARE
     hot_rows = rows.join(hot, "g", "left_semi").join(F.broadcast(of.join(hot, "g", "left_semi")), "g")
     cool_rows = rows.join(hot, "g", "left_anti").join(of, "g")

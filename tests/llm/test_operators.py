@@ -55,9 +55,27 @@ def test_decontamination(spark, texts):
         want[i] = (len(w), len(hit), len(items), ",".join(sorted(items)))
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r["items"]) for r in decontamination.contaminated(docs, bench).collect()}
     assert got == want
-    found = decontamination.near(make(spark, ["a b x c", "a b y y y y y c", "c b a"]), spark.createDataFrame([(1, "a b c")], "item_id long, text string"), 2)
-    assert {r.doc for r in found.collect()} >= {0}
-    assert 1 not in {r.doc for r in found.collect()}
+
+
+def test_near_by_brute_force(spark):
+    rng = random.Random(8)
+    docs = {i: [rng.choice("abcdefgh") for _ in range(rng.randint(0, 40))] for i in range(60)}
+    items = {i: [rng.choice("abcdefgh") for _ in range(rng.randint(1, 5))] for i in range(12)} | {99: ["z", "a"]}
+    base = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc long, text string")
+    index = decontamination.build_index(base)
+    assert index.count() == sum(map(len, docs.values()))  # every token of the corpus is in it
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    for slack in (0, 2):
+        want = set()
+        for i, item in items.items():
+            k = {t: sum(w.count(t) for w in docs.values()) for t in item}
+            rare = min(range(len(item)), key=lambda j: (k[item[j]], j))
+            for d, w in docs.items():
+                for p in (p for p, t in enumerate(w) if t == item[rare]):
+                    at = p - rare
+                    if all(any(w[q] == t for q in range(max(0, at + j - slack), min(len(w), at + j + slack + 1))) for j, t in enumerate(item)):
+                        want.add((d, str(i), at))
+        assert {tuple(r) for r in decontamination.near(index, tests, slack).collect()} == want and want
 
 
 def test_mixing(spark, texts):
@@ -223,8 +241,18 @@ def test_chat_tree(spark):
         assert [t.loss for t in got[c]] == [x if r == "assistant" else "" for r, x in mine]
     out = sorted(nodes.collect(), key=lambda r: r.start)
     assert len(out) < len(rows) and sum(r.length for r in out) == out[-1].start + out[-1].length
+    of = {r.name: r for r in out}
     for r in out:
-        assert r.position == sum(b - a for a, b in r.attn[:-1]) and tuple(r.attn[-1]) == (r.start, r.start + r.length)
+        above, x = [], r
+        while x:
+            above.append((x.start, x.start + x.length))
+            x = of.get(x.parent)
+        assert len(above) == r.depth + 1 and r.position == sum(b - a for a, b in above[1:])
+        spans = [tuple(x) for x in r.attn]
+        assert sorted(i for a, b in spans for i in range(a, b)) == sorted(i for a, b in above for i in range(a, b))
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))  # adjoining ones are merged
+    for r in leaves.collect():
+        assert r.starts == sorted(r.starts) and {x.start: x.name for x in out}[r.starts[-1]] == r.leaf
     assert chat_tree.emit(df.limit(0))[0].count() == 0
 
 
@@ -240,10 +268,17 @@ def test_line_dedup(spark, texts):
         lines = (t or "").split("\n")
         kept = [x for x, k in zip(lines, keys[i], strict=True) if not (len(held.get(k, ())) >= 3 and max(held[k]) != i)]
         assert (got[i].n_lines, got[i].n_dropped, got[i].kept) == (len(lines), len(lines) - len(kept), "\n".join(kept))
-    store = line_runs.LineRuns(fanout=2)
+    store = line_runs.LineRuns(spark, fanout=2)
     batch = [spark.range(a, b).select(F.col("id").alias("h1"), F.col("id").alias("h2")) for a, b in ((0, 5), (3, 8), (0, 9), (20, 21))]
     assert [store.add(b).count() for b in batch] == [5, 3, 1, 1]
-    assert sum(r.count() for runs in store.levels for r in runs) == 10 and all(len(x) < 2 for x in store.levels)
+    assert sum(r.count() for r in store.runs()) == 10 and all(len(x) < 2 for x in store.levels)
+    more = spark.range(30).select(F.col("id").alias("h1"), (F.col("id") * 3).alias("h2"))
+    with line_runs._sorted_buckets(spark):
+        plan = store.unseen(more)._jdf.queryExecution().executedPlan().toString()
+    # the batch is shuffled and sorted once; the runs are merged as they stand
+    assert plan.count("SortMergeJoin") == len(store.runs()) and plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+    store.close()
+    assert store.runs() == []
 
 
 def test_toxicity(spark):
