@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), where docs has the columns of documents, and returns a DataFrame: all but the last
 the columns of documents, the last the token table of what is left (a document that the mix repeats is encoded as often).
-Null and empty texts pass the first four stages (of several without words one stays); the encoder gives them an end id.
+Null and empty texts pass the first four stages (of several without words one stays); the encoder gives them an end id. Each row is judged
+by its own text, also if it has no doc_id or shares it; columns beyond those of documents pass through the first four stages. An empty table
+gives no rows. What stages leave between them is stored; shapeloom.storage.clear() removes it once the result is written.
 """
 
 from __future__ import annotations
