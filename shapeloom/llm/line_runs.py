@@ -59,13 +59,14 @@ class LineRuns:
     """The store. levels[i] lists the runs of level i, each a table of h1, h2 in as many buckets as a shuffle has partitions."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+        self.spark, self.fanout, self.levels, self.paths = spark, fanout, [[]], {}
         self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def _write(self, keys: DataFrame, level: int) -> str:
         name = f"line_run_{level}_{uuid.uuid4().hex}"
         writer = keys.repartition(self.buckets, *HASH).write.bucketBy(self.buckets, *HASH).sortBy(*HASH)
-        writer.option("path", new_path(self.spark, name)).format("parquet").saveAsTable(name)
+        self.paths[name] = new_path(self.spark, name)
+        writer.option("path", self.paths[name]).format("parquet").saveAsTable(name)
         return name
 
     def runs(self) -> list[DataFrame]:
@@ -84,9 +85,8 @@ class LineRuns:
         self.levels[0].append(self._write(fresh.select(*HASH), 0))
         for i, level in enumerate(self.levels):
             if len(level) >= self.fanout:
-                merged = self.spark.table(level[0])
-                for name in level[1:]:
-                    merged = merged.unionByName(self.spark.table(name))  # runs share no key
+                # as plain files: a union of buckets would be written without the exchange that makes one file of each; runs share no key
+                merged = self.spark.read.schema("h1 long, h2 long").parquet(*[self.paths[name] for name in level])
                 if i + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[i + 1].append(self._write(merged, i + 1))
@@ -96,9 +96,8 @@ class LineRuns:
 
     def _remove(self, names: list[str]) -> None:
         for name in names:
-            where = self.spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").first()[1]
             self.spark.sql(f"DROP TABLE {name}")
-            remove(self.spark, where)
+            remove(self.spark, self.paths.pop(name))
 
     def close(self) -> None:
         """Removes all runs."""
