@@ -1,11 +1,11 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-build_index() stores the postings (term, doc, pos) of all tokens of the corpus as Parquet, sorted by term in each
-segment; a segment is what one task has read, so building needs no shuffle, and an index built at a path of its own serves any number of
-test sets (open_index). Phrases are found from their rarest terms: each window of a test item has its RAREST rarest
-terms as anchors; their lists, each shifted back by the term's offset, are intersected by grouping on
-(document, item, shift). The windows left are then compared word by word with the document. near() finds documents in
-which all terms of an item stand near their places.
+build_index() stores the postings (h, term, doc, pos) of all tokens of the corpus as Parquet, sorted in each segment by the
+term's hash h, a radix sort of numbers; a segment is what one task has read, so building needs no shuffle, and an index built at a path of
+its own serves any number of test sets (open_index). Phrases are found from their rarest terms: each window of a test item
+has its RAREST rarest terms as anchors; their lists, looked up by h and each shifted back by the term's offset, are intersected by grouping on
+(document, item, shift). The windows left are then compared word by word with the document, which also tells terms of equal
+hash apart. near() finds documents in which all terms of an item stand near their places; it looks up hash and term.
 
 The tests' terms, anchors and windows are broadcast if their measured size allows it, else shuffled. Texts are shuffled
 only for documents that have candidates, which a Bloom filter of a size known beforehand tells.
@@ -34,17 +34,19 @@ def raw_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), _BETWEEN), "")
 
 
+def lower_words(text: Column) -> Column:
+    return raw_words(ascii_lower(text))
+
+
 def row_key() -> Column:
     """What the index and candidates call a row, for columns doc_id and text."""
     return F.xxhash64("doc_id", "text")
 
 
 def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Stored postings term, doc, pos of docs (doc, text), at path or among the intermediate tables."""
-    tokens = docs.select("doc", F.posexplode(raw_words(F.col("text"))).alias("pos", "word")).select(
-        ascii_lower(F.col("word")).alias("term"), "doc", "pos"
-    )
-    tokens = tokens.sortWithinPartitions("term", "doc", "pos")
+    """Stored postings h, term, doc, pos of docs (doc, text), at path or among the intermediate tables."""
+    tokens = docs.select("doc", F.posexplode(lower_words(F.col("text"))).alias("pos", "term"))
+    tokens = tokens.select(F.xxhash64("term").alias("h"), "term", "doc", "pos").sortWithinPartitions("h")
     if path is None:
         return stored(tokens, "postings")
     tokens.write.parquet(path)
@@ -52,7 +54,7 @@ def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def open_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("term string, doc long, pos int").parquet(path)
+    return spark.read.schema("h long, term string, doc long, pos int").parquet(path)
 
 
 def test_words(tests: DataFrame) -> DataFrame:
@@ -60,19 +62,20 @@ def test_words(tests: DataFrame) -> DataFrame:
     found = tests.select(
         F.monotonically_increasing_id().alias("item"),
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
-        F.transform(raw_words(F.col("text")), ascii_lower).alias("words"),
+        lower_words(F.col("text")).alias("words"),
     )
     return stored(found.where(F.size("words") > 0), "test-items")
 
 
 def _places(items: DataFrame) -> DataFrame:
-    return items.select("item", "item_id", F.size("words").alias("n"), F.posexplode("words").alias("off", "term"))
+    places = items.select("item", "item_id", F.size("words").alias("n"), F.posexplode("words").alias("off", "term"))
+    return places.withColumn("h", F.xxhash64("term"))
 
 
 def term_counts(index: DataFrame, items: DataFrame) -> DataFrame:
-    """Stored: term, n_found: postings of each term of the items."""
-    terms = stored(items.select(F.explode("words").alias("term")).distinct(), "test-terms")
-    return stored(index.select("term").join(small(terms), "term").groupBy("term").agg(F.count("*").alias("n_found")), "test-term-counts")
+    """Stored: h, n_found: postings of each hash of the items' terms."""
+    terms = stored(_places(items).select("h").distinct(), "test-terms")
+    return stored(index.select("h").join(small(terms), "h").groupBy("h").agg(F.count("*").alias("n_found")), "test-term-counts")
 
 
 def _windows(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
@@ -81,7 +84,7 @@ def _windows(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
     Windows with a term that the index lacks are out. A place lies in at most window windows.
     """
     last = F.greatest(F.col("n") - window, F.lit(0))
-    places = _places(items).join(small(counts), "term", "left").withColumn("n_found", F.coalesce("n_found", F.lit(0)))
+    places = _places(items).join(small(counts), "h", "left").withColumn("n_found", F.coalesce("n_found", F.lit(0)))
     starts = F.sequence(F.least(F.greatest(F.col("off") - window + 1, F.lit(0)), last), F.least("off", last))
     of_window = places.select("item", F.explode(starts).alias("start"), F.struct("n_found", "off").alias("x"))
     ranked = of_window.groupBy("item", "start").agg(F.sort_array(F.collect_list("x")).alias("x"))
@@ -99,12 +102,12 @@ def candidates(index: DataFrame, tests: DataFrame, window: int = WINDOW) -> Data
     items = test_words(tests)
     windows = _windows(items, term_counts(index, items), window)
     anchors = windows.select("item", F.explode("need").alias("off")).distinct()
-    of_item = _places(items).select(F.col("item").alias("_item"), F.col("off").alias("_off"), "term")
+    of_item = _places(items).select(F.col("item").alias("_item"), F.col("off").alias("_off"), "h")
     anchors = stored(
-        anchors.join(of_item, (F.col("item") == F.col("_item")) & (F.col("off") == F.col("_off"))).select("term", "item", "off"),
+        anchors.join(of_item, (F.col("item") == F.col("_item")) & (F.col("off") == F.col("_off"))).select("h", "item", "off"),
         "test-anchors",
     )
-    shifted = index.join(small(anchors), "term").select("doc", "item", (F.col("pos") - F.col("off")).alias("shift"), "off")
+    shifted = index.join(small(anchors), "h").select("doc", "item", (F.col("pos") - F.col("off")).alias("shift"), "off")
     met = shifted.groupBy("doc", "item", "shift").agg(F.collect_set("off").alias("got"))
     # a window's offsets come in order: look it up by the first, then ask for the last
     met = met.select("doc", "item", "shift", "got", F.explode("got").alias("_first"))
@@ -124,8 +127,7 @@ def _hits(text: Column) -> Column:
         held = F.filter("maybe", lambda c: F.slice(words, c["at"] + 1, F.size(c["said"])) == c["said"])
         return F.transform(held, lambda c: F.struct(c["at"], F.size(c["said"]).alias("length"), c["item_id"]))
 
-    lowered = F.transform(raw_words(text), ascii_lower)
-    return F.when(F.col("maybe").isNotNull(), let(lowered, same))
+    return F.when(F.col("maybe").isNotNull(), let(lower_words(text), same))
 
 
 def find_phrases(docs: DataFrame, tests: DataFrame, window: int = WINDOW, index: DataFrame | None = None) -> DataFrame:
@@ -151,16 +153,16 @@ def near(index: DataFrame, tests: DataFrame, slack: int) -> DataFrame:
     """
     items = test_words(tests)
     counts = term_counts(index, items)
-    places = stored(_places(items).join(small(counts), "term"), "near-places")
-    rarest = places.groupBy("item").agg(F.min(F.struct("n_found", "off", "term", "item_id", "n")).alias("x"), F.count("*").alias("k"))
-    rarest = stored(rarest.where("k = x.n").select("item", "x.term", "x.off", "x.item_id", "x.n"), "near-rarest")
-    first = index.join(small(rarest), "term").select("doc", "item", "item_id", "n", (F.col("pos") - F.col("off")).alias("at"))
+    places = stored(_places(items).join(small(counts), "h"), "near-places")
+    rarest = places.groupBy("item").agg(F.min(F.struct("n_found", "off", "h", "term", "item_id", "n")).alias("x"), F.count("*").alias("k"))
+    rarest = stored(rarest.where("k = x.n").select("item", "x.h", "x.term", "x.off", "x.item_id", "x.n"), "near-rarest")
+    first = index.join(small(rarest), ["h", "term"]).select("doc", "item", "item_id", "n", (F.col("pos") - F.col("off")).alias("at"))
     width = 2 * slack + 1
     wanted = first.join(small(places.select(F.col("item").alias("_item"), "term", "off")), F.col("item") == F.col("_item"))
     wanted = wanted.withColumn("place", F.col("at") + F.col("off"))
     cells = F.array_distinct(F.array(*[F.floor((F.col("place") + d) / width) for d in (-slack, slack)]))
     wanted = wanted.withColumn("cell", F.explode(cells))
-    there = index.join(small(counts.select("term")), "term", "left_semi").select(
+    there = index.join(small(counts.select("h")), "h", "left_semi").select(
         F.col("term").alias("_t"), F.col("doc").alias("_d"), "pos", F.floor(F.col("pos") / width).alias("_c")
     )
     hit = (
