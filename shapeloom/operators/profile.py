@@ -58,11 +58,13 @@ def entity_totals(props: DataFrame) -> DataFrame:
 
 def shape_table(props: DataFrame, classes: DataFrame) -> DataFrame:
     """c, p, ot, support (entities of the class that have the property with an object of the type), and the
-    least and most values of the property among them. props: typed_properties(); classes: s1, s2, c."""
+    least and most values of the property among them. props: typed_properties(); classes: s1, s2, c, and entities where
+    a row stands for so many entities that are alike."""
+    many = F.sum("entities") if "entities" in classes.columns else F.count("*")
     total = F.sum("cnt").over(W.partitionBy(*KEY, "p"))
-    dealt = props.repartition(*KEY).withColumn("total", total)
-    return dealt.join(classes.select(*KEY, "c"), KEY).groupBy("c", "p", "ot").agg(
-        F.count("*").alias("support"), F.min("total").alias("least"), F.max("total").alias("most")
+    dealt = props.select(*KEY, "p", "ot", "cnt").repartition(*KEY).withColumn("total", total)
+    return dealt.join(classes.drop("k"), KEY).groupBy("c", "p", "ot").agg(
+        many.alias("support"), F.min("total").alias("least"), F.max("total").alias("most")
     )
 
 
