@@ -54,13 +54,38 @@ def capacity(counts: DataFrame, largest: int, pct: float, compat: bool = False)
     return counts.select("c", end["cap"].cast("int").alias("cap"))
 
 
+def likely(rows: DataFrame, k: int, seed: int = 100) -> DataFrame:
+    """Stored: rows (s, c, scope; to be read twice) among which are the first k of each class and scope by the seeded hash.
+
+    Those whose hash is under a limit that about 4 k + 200 of the class and scope should pass; where fewer than k do, all.
+    """
+    cells = rows.groupBy("c", "scope").agg(F.count("*").alias("m"))
+    limit = F.floor((1 << 28) * (4.0 * k + 200) / F.col("m"))
+    cells = stored(cells.withColumn("under", F.when(F.col("m") > 4 * k + 200, F.lpad(F.lower(F.hex(limit)), 7, "0"))), "cells")
+    under = F.col("under").isNull() | (F.substring(seeded(seed, "s"), 1, 7) < F.col("under"))
+    found = stored(rows.join(small(cells), ["c", "scope"]).where(under).select(*rows.columns), "likely")
+    got = found.groupBy("c", "scope").agg(F.count("*").alias("got"))
+    few = cells.join(got, ["c", "scope"], "left").where(F.col("under").isNotNull() & (F.coalesce("got", F.lit(0)) < k))
+    few = stored(few.select("c", "scope"), "few")
+    if not few.take(1):
+        return found
+    return found.join(few, ["c", "scope"], "left_anti").unionByName(rows.join(few, ["c", "scope"], "left_semi"))
+
+
 def reservoir(classes: DataFrame, k: int | DataFrame, seed: int = 100, neighbours: bool = False) -> DataFrame:
-    """c, s, slot: at most k entities of each class (k: a number, or c and cap). neighbours: those with more classes first."""
+    """c, s, slot: at most k entities of each class (k: a number, or c and cap). neighbours: those with more classes first.
+
+    classes: s, c once each. If it has scope (the classes of s), it is read twice, and only likely() rows are ranked.
+    """
     rows = classes
+    if "scope" in rows.columns:
+        most = k if isinstance(k, int) else k.agg(F.max("cap")).first()[0] or 0
+        rows = likely(rows, most, seed)
     order = [seeded(seed, "s"), F.col("s")]
     if neighbours:
-        scope = classes.groupBy(F.col("s").alias("_s")).agg(F.count("*").alias("scope"))
-        rows = rows.join(scope, F.col("s") == F.col("_s"))
+        if "scope" not in rows.columns:
+            scope = classes.groupBy(F.col("s").alias("_s")).agg(F.count("*").alias("scope"))
+            rows = rows.join(scope, F.col("s") == F.col("_s"))
         order = [F.col("scope").desc(), *order]
     slot = F.row_number().over(W.partitionBy("c").orderBy(*order))
     ranked = rows.withColumn("slot", slot)
@@ -86,12 +111,13 @@ def sampled_triples(triples: DataFrame, sample: DataFrame) -> DataFrame:
 
 
 def sampled_stats(
-    literals: DataFrame, links: DataFrame, sample: DataFrame, known: DataFrame, type_predicate: str, untyped: str | None = None
+    literals: DataFrame, links: DataFrame, sample: DataFrame, known: DataFrame, type_predicate: str, untyped: str | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Stored: shape_table over sampled entities: confidence is support over the class's sample; n stays the whole class.
 
     literals, links: without type triples; sample: stored c, s; known: stored hashed_types(). A property all of whose objects are untyped
-    stays with a null ot, unless untyped names a type.
+    stays with a null ot, unless untyped names a type. counts: c, n; with it, known needs only the objects of links.
     """
     own = stored(sample.select(*P.term_hash(F.col("s"), *P.KEY), "c").distinct(), "sample-types")
     entities = small(stored(own.select(*P.KEY).distinct(), "sample-entities"))
@@ -101,5 +127,5 @@ def sampled_stats(
 
     props = P.typed_properties(mine(literals, "o_datatype"), mine(links, "o"), known, untyped)
     sizes = own.groupBy("c").agg(F.count("*").alias("reservoir"))
-    found = P.shape_table(props, own).join(sizes, "c").join(P.class_sizes(known), "c")
+    found = P.shape_table(props, own).join(sizes, "c").join(P.class_sizes(known) if counts is None else counts, "c")
     return stored(found.withColumn("confidence", F.col("support").cast("double") / F.col("reservoir")), "sampled-table")
