@@ -286,6 +286,8 @@ def not_violations(negative: DataFrame, triples: DataFrame, type_predicate: str
     literal = F.col("o_kind") == "literal"
     had = mine.join(of_object, (F.col("o") == F.col("_o")) & ~literal, "left")
     had = had.select("s", F.col("p").alias("path"), F.when(literal, F.col("o_datatype")).otherwise(F.coalesce("_c", F.lit(UNDEFINED))).alias("ot"))
+    negative = stored(negative, "negative")
+    had = had.join(small(stored(negative.select("path", "ot").distinct(), "forbidden")), ["path", "ot"], "left_semi").select("s", "path", "ot")
     found = negative.join(_targets(negative, triples, type_predicate), "target_class").join(had.distinct(), ["s", "path", "ot"])
     return found.select(
         F.col("shape").alias("source_shape"), F.col("s").alias("focus_node"), F.col("path").alias("result_path"),
