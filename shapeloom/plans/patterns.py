@@ -3,7 +3,14 @@ COUNT, GROUP BY, ORDER BY and LIMIT. A template may hold names such as :Class th
 
 Each pattern is a filtered scan; patterns are joined on the variables that they share, so Catalyst orders and prunes them as it does
 any join. A pattern that shares no variable with those before it is refused, as is all other syntax. A variable is a column of structs
-v (text), k (iri, bnode, literal), d (datatype), l (language).
+v (text), k (iri, bnode, literal), d (datatype), l (language); one that nothing else names is not made.
+
+The graph is a DataFrame of triples or one that makes them as asked (sources.triples.Tables): scan() gets the terms of a pattern, spaces()
+are parts without a common subject, in each of which patterns about one subject are matched apart, and states() tells the rows that state a
+fact of their subject. Where repeated solutions make no difference (DISTINCT, COUNT(DISTINCT), ASK, CONSTRUCT), a fact about a variable
+(?s a :Class) that another pattern has as its subject takes part as a semi-join with the latter, and in none where its row states the fact.
+Distinct values are counted by 128 bits of hash. Distinct subjects by object of one predicate are counted by masks of the objects that a row
+of a table states (_by_sets).
 """
 
 from __future__ import annotations
@@ -13,14 +20,19 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import TYPE
+from ..functions.terms import term_hash
+from ..storage import stored
 
 _TOKEN = re.compile(
     r"""\s*(?:(?P<iri><[^>\s]*>)|(?P<var>\?\w+)|(?P<str>"(?:[^"\\]|\\.)*")|(?P<num>-?\d+(?:\.\d+)?)|(?P<op>&&|!=|<=|>=|[{}().=<>;,*])|(?P<name>[A-Za-z_][\w-]*:[\w.-]*\w|[A-Za-z_]\w*:?|:\w+))"""
 )
 KIND = "struct<v:string,k:string,d:string,l:string>"
+#: The most words of masks of objects, and the most sets of objects, that distinct subjects are counted by.
+WORDS, SETS = 4, 100_000
 
 
 @dataclass
@@ -183,22 +195,77 @@ class _Parser:
         return q
 
 
-def _scan(triples: DataFrame, pattern: tuple) -> DataFrame:
-    """A column for each variable of one pattern."""
+class _Rows:
+    """A graph that is one DataFrame of triples."""
+
+    def __init__(self, triples: DataFrame):
+        self.spark, self.triples = triples.sparkSession, triples
+
+    def scan(self, **_) -> DataFrame:
+        return self.triples
+
+    def spaces(self) -> list:
+        return [self]
+
+    def states(self, p: str, o: str) -> tuple:
+        return None, self
+
+
+def _graph(triples):
+    return _Rows(triples) if isinstance(triples, DataFrame) else triples
+
+
+def _names(patterns: list) -> list[str]:
+    return [term[1] for x in patterns for term in x if term[0] == "var"]
+
+
+def _used(q: Query) -> set[str]:
+    """Variables that take part in joins, tests or the result."""
+    every = _names(q.where) + [x for patterns, _ in q.optional for x in _names(patterns)]
+    if q.form == "SELECT" and not q.select:
+        return set(every)
+    tests = q.filters + [x for _, tests in q.optional for x in tests]
+    asked = [of[0] if of else name for name, of in q.select] + q.group + [x for x, _ in q.order] + [x[1] for x in tests]
+    return {x for x in every if every.count(x) > 1} | set(asked) | set(_names(q.template)) | set(q.values)
+
+
+def _once(q: Query) -> bool:
+    """Whether repeated solutions make no difference."""
+    counts = [of for _, of in q.select if of]
+    if q.form != "SELECT":
+        return True
+    return all(one and of for of, one in counts) if counts or q.group else q.distinct
+
+
+def _scan(graph, pattern: tuple, q: Query, used: set[str], tests: list) -> DataFrame | None:
+    """A column for each used variable of one pattern, None if the graph cannot have any."""
+    s, p, o = pattern
+    among = [s[2]] if s[0] == "term" else q.values.get(s[1])
+    without = [x[3][2] for x in tests if x[:3] == (None, p[1], "!=") and x[3][:2] == ("term", "iri")] if p[0] == "var" else []
+    fields = [c for c, x in (("s", s), ("p", p), ("o", o), ("o_kind", o)) if x[0] == "term" or x[1] in used]
+    fields += ["o_datatype", "o_lang"] if o[0] == "var" and o[1] in used else []
+    found = graph.scan(
+        among=among, p=p[2] if p[0] == "term" else None, o=o[2] if o[0] == "term" else None, without=tuple(without), fields=fields or ["p"]
+    )
+    if found is None:
+        return None
     kind = {"s": F.when(F.col("s").startswith("_:"), "bnode").otherwise("iri"), "p": F.lit("iri"), "o": F.col("o_kind")}
-    none, found, columns = F.lit(None).cast("string"), triples, {}
+    none, columns = F.lit(None).cast("string"), {}
     for place, term in zip("spo", pattern, strict=True):
         if term[0] == "term":
             found = found.where(F.col(place) == term[2])
             if place == "o":
                 found = found.where((F.col("o_kind") == "literal") == F.lit(term[1] == "literal"))
             continue
+        if term[1] not in used:
+            continue
         more = (F.col("o_datatype"), F.col("o_lang")) if place == "o" else (none, none)
         column = F.struct(F.col(place).alias("v"), kind[place].alias("k"), more[0].alias("d"), more[1].alias("l")).cast(KIND)
         columns.setdefault(term[1], []).append(column)
     for same in columns.values():
         found = reduce(lambda df, x: df.where(x == same[0]), same[1:], found)
-    return found.select(*[x[0].alias(name) for name, x in columns.items()])
+    found = found.select(*[x[0].alias(name) for name, x in columns.items()])
+    return reduce(lambda df, name: df.where(F.col(name)["v"].isin(q.values[name])), [x for x in found.columns if x in q.values], found)
 
 
 def _test(x: tuple) -> Column:
@@ -229,31 +296,69 @@ def _join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     return left.join(renamed, [F.col(c) == F.col(f"_{c}") for c in on], how).drop(*[f"_{c}" for c in on])
 
 
-def _bindings(triples: DataFrame, q: Query) -> DataFrame:
-    def all_of(patterns: list, tests: list, start: DataFrame | None = None) -> DataFrame:
-        found, todo = start, list(patterns)
+def _union(parts: list) -> DataFrame | None:
+    parts = [x for x in parts if x is not None]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def _bindings(triples, q: Query) -> DataFrame:
+    """A column for each used variable."""
+    graph, used, once = _graph(triples), _used(q), _once(q)
+
+    def scan(graph, pattern: tuple, tests: list, facts: list) -> DataFrame | None:
+        """Of subjects that have all facts."""
+        if not facts:
+            return _scan(graph, pattern, q, used, tests)
+        fact, rest = facts[0], facts[1:]
+        sure, others = graph.states(fact[1][2], fact[2][2]) if fact[2][1] == "iri" else (None, graph)
+        parts = [scan(sure, pattern, tests, rest)] if sure else []
+        if others and (had := _scan(graph, fact, q, used, [])) is not None:
+            found = scan(others, pattern, tests, rest)
+            parts.append(None if found is None else _join(found, had, "left_semi"))
+        return _union(parts)
+
+    def all_of(graph, patterns: list, tests: list) -> DataFrame | None:
+        todo = [(x, []) for x in patterns]
+        if once:
+            for fact in [x for x in patterns if x[0][0] == "var" and x[1][0] == x[2][0] == "term"]:
+                i = next(i for i, (x, _) in enumerate(todo) if x == fact)
+                about = next((facts for j, (x, facts) in enumerate(todo) if j != i and x[0] == fact[0]), None)
+                if about is not None:
+                    about += [fact, *todo.pop(i)[1]]
+        found = None
         while todo:  # the next pattern is the first that shares a variable
-            scans = [(i, _scan(triples, x)) for i, x in enumerate(todo)]
-            i, scan = next(((i, x) for i, x in scans if found is None or set(x.columns) & set(found.columns)), scans[0])
-            for name in scan.columns:
-                if name in q.values:
-                    scan = scan.where(F.col(name)["v"].isin(q.values[name]))
-            found = scan if found is None else _join(found, scan)
-            todo.pop(i)
+            known = set(found.columns) if found is not None else set()
+            i = next((i for i, (x, _) in enumerate(todo) if known & set(_names([x]))), 0)
+            pattern, facts = todo.pop(i)
+            got = scan(graph, pattern, tests, facts)
+            if got is None:
+                return None
+            found = got if found is None else _join(found, got)
         return reduce(lambda df, x: df.where(_test(x)), tests, found)
 
-    found = all_of(q.where, q.filters)
-    for patterns, tests in q.optional:
-        found = _join(found, all_of(patterns, tests), "left")
-    return found
+    def empty(patterns: list) -> DataFrame:
+        names = [x for x in dict.fromkeys(_names(patterns)) if x in used]
+        return graph.spark.createDataFrame([], ", ".join(f"`{x}` {KIND}" for x in names))
+
+    def solutions(graph) -> DataFrame | None:
+        found = all_of(graph, q.where, q.filters)
+        for patterns, tests in q.optional if found is not None else []:
+            more = all_of(graph, patterns, tests)
+            found = _join(found, empty(patterns) if more is None else more, "left")
+        return found
+
+    every = [*q.where, *[x for patterns, _ in q.optional for x in patterns]]
+    star = len({x[0] for x in every}) == 1 and every[0][0][0] == "var"
+    found = _union([solutions(x) for x in graph.spaces()]) if star else solutions(graph)
+    return empty(every) if found is None else found
 
 
-def ask(triples: DataFrame, text: str) -> bool:
+def ask(triples, text: str) -> bool:
     """Whether the pattern is met."""
     return _bindings(triples, _Parser(text).query()).limit(1).count() > 0
 
 
-def construct(triples: DataFrame, text: str) -> DataFrame:
+def construct(triples, text: str) -> DataFrame:
     """The distinct triples that the template makes of each solution."""
     q = _Parser(text).query()
     found, rows = _bindings(triples, q), []
@@ -270,16 +375,62 @@ def construct(triples: DataFrame, text: str) -> DataFrame:
     return found.select(F.inline(F.array(*rows))).distinct()
 
 
-def select(triples: DataFrame, text: str) -> DataFrame:
+def _count(of: str | None, one: bool) -> Column:
+    if of is None or not one:
+        return F.count("*" if of is None else F.col(of))
+    x = F.col(of)
+    whole = F.struct(x["v"], x["k"], F.coalesce(x["d"], F.lit("")), F.coalesce(x["l"], F.lit("")))
+    return F.count_distinct(*[F.when(x.isNotNull(), h) for h in term_hash(whole, "a", "b")])
+
+
+def _by_sets(graph, p: str, group: str, name: str) -> DataFrame | None:
+    """group, name: the objects of p and their distinct subjects, None where the general way is to be taken: with more than 63 * WORDS
+    objects or SETS sets of them.
+
+    A row of a table takes part as its subject's hash and a mask of the objects that it states, so it stays one row in the shuffle however
+    many they are, and takes fixed width. Masks of a subject are merged, subjects counted by mask, and masks taken apart at the end.
+    """
+    parts, bit = ["o", "o_kind", "o_datatype", "o_lang"], lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), (i % 63).cast("int"))
+    rows = graph.scan(p=p, fields=["s", *parts], packed=True)
+    if rows is None:
+        return None
+    sets = stored(graph.scan(p=p, fields=parts, packed=True).limit(SETS + 1), "object-sets")
+    if sets.count() > SETS or sets.groupBy("h").count().where("count > 1").take(1):
+        return None
+    x = F.col("x")
+    column = F.struct(x["o"].alias("v"), x["o_kind"].alias("k"), x["o_datatype"].alias("d"), x["o_lang"].alias("l")).cast(KIND)
+    members = sets.select("h", F.explode("of").alias("x")).where("x IS NOT NULL").select("h", column.alias(group))
+    objects = stored(members.select(group).distinct(), "objects")
+    n_words = -(-objects.count() // 63)
+    if n_words > WORDS:
+        return None
+    objects = objects.withColumn("i", F.row_number().over(W.orderBy(group)) - 1)
+    words = [f"m{j}" for j in range(max(n_words, 1))]
+    of_word = [F.coalesce(F.bit_or(F.when(F.floor(F.col("i") / 63) == j, bit(F.col("i")))), F.lit(0)).alias(m) for j, m in enumerate(words)]
+    masks = stored(members.join(objects, group).groupBy("h").agg(*of_word), "object-masks")
+    key = ["s1", "s2"]
+    dealt = rows.select(*term_hash(F.col("s"), *key), "h").join(F.broadcast(masks), "h").drop("h").repartition(*key)
+    counted = dealt.groupBy(*key).agg(*[F.bit_or(m).alias(m) for m in words]).groupBy(*words).agg(F.count("*").alias("n"))
+    word = reduce(lambda found, j: F.when(F.floor(F.col("i") / 63) == j, F.col(words[j])).otherwise(found), range(len(words)), F.lit(0).cast("long"))
+    found = counted.crossJoin(F.broadcast(objects)).where(word.bitwiseAND(bit(F.col("i"))) != 0)
+    return found.groupBy(group).agg(F.sum("n").alias(name))
+
+
+def select(triples, text: str) -> DataFrame:
     """A column of texts for each variable, of longs for each count."""
     q = _Parser(text).query()
-    found = _bindings(triples, q)
     counts = [(name, of) for name, of in q.select if of]
-    if counts or q.group:
+    found, plain = None, not (q.filters or q.optional or q.values) and len(q.where) == 1 and len(counts) == len(q.group) == 1
+    if plain and not isinstance(triples, DataFrame):
+        s, p, o = q.where[0]
+        if p[0] == "term" and s[0] == o[0] == "var" and s != o and q.group[0] == o[1] and counts[0][1] == (s[1], True):
+            found = _by_sets(triples, p[2], o[1], counts[0][0])
+    summed = found is not None
+    found = found if summed else _bindings(triples, q)
+    if (counts or q.group) and not summed:
         made = []
         for name, (of, one) in counts:
-            column = F.count("*") if of is None else F.count_distinct(F.col(of)) if one else F.count(F.col(of))
-            made.append(column.alias(name))
+            made.append(_count(of, one).alias(name))
         found = found.groupBy(*q.group).agg(*made) if made else found.select(*q.group).distinct()
     names = q.select or [(c, None) for c in found.columns]
     found = found.select(*[F.col(n) if of else F.col(n)["v"].alias(n) for n, of in names])
